@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomstone.llm import leakage, neardup
+from loomstone.llm import conversations, leakage, neardup, sentences
 from loomstone.session import table
 
 
@@ -14,9 +14,28 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.find_leaks(table(spark, sf_dir, "download_instruct"), table(spark, sf_dir, "battery_prompts"))
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.rebuild(table(spark, sf_dir, "messages"), table(spark, sf_dir, "chats")).select("chat_id", "turn_no", "message_id")
+
+
+def p2_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    messages = table(spark, sf_dir, "messages")
+    return conversations.with_content(conversations.rebuild(messages, table(spark, sf_dir, "chats")), messages)
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "download_instruct"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p5_found": p5_found}
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentences.split_sentences(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": p1_found,
+    "p2_found": p2_found,
+    "p2_turns": p2_turns,
+    "p5_found": p5_found,
+    "p8_found": p8_found,
+}
 ORACLES: dict[str, str] = {}
