@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomstone.llm import conversations, leakage, neardup, sentences
+from loomstone.llm import conversations, leakage, neardup, quality, sentences
 from loomstone.session import table
 
 
@@ -23,6 +23,15 @@ def p2_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.with_content(conversations.rebuild(messages, table(spark, sf_dir, "chats")), messages)
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.assess(table(spark, sf_dir, "quality"))
+    return found.where("text_class in ('list', 'table', 'junk')").select("text_id", "text_class")
+
+
+def p3_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.assess(table(spark, sf_dir, "quality"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "download_instruct"))
 
@@ -35,6 +44,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p2_found": p2_found,
     "p2_turns": p2_turns,
+    "p3_found": p3_found,
+    "p3_statistics": p3_statistics,
     "p5_found": p5_found,
     "p8_found": p8_found,
 }
