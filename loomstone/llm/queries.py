@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomstone.llm import conversations, leakage, neardup, quality, sentences
+from loomstone.llm import conversations, leakage, neardup, pairs, quality, sentences
 from loomstone.session import table
 
 
@@ -32,6 +32,10 @@ def p3_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(table(spark, sf_dir, "quality"))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairs.label(table(spark, sf_dir, "download_instruct")).select("rec_id", "pair_no", "defect")
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "download_instruct"))
 
@@ -46,6 +50,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_turns": p2_turns,
     "p3_found": p3_found,
     "p3_statistics": p3_statistics,
+    "p4_found": p4_found,
     "p5_found": p5_found,
     "p8_found": p8_found,
 }
