@@ -63,7 +63,7 @@ def pack(documents: DataFrame, specs: DataFrame, key: str = "doc_id", text: str
     chosen = wanted.limit(MOST_SPECS + 1).collect()
     if len(chosen) > MOST_SPECS:
         raise ValueError("too many specs")
-    of_specs = F.array(*[F.struct(F.lit(r.spec_name).cast("string").alias("spec_name"), F.lit(r.capacity).alias("capacity"), F.lit(r.overhead).alias("overhead")) for r in chosen])
+    of_specs = F.array(*[F.struct(F.lit(r.spec_name).cast("string").alias("spec_name"), F.lit(r.capacity).cast("bigint").alias("capacity"), F.lit(r.overhead).cast("bigint").alias("overhead")) for r in chosen])
     # each row of lengths is repeated for each spec
     each = counted.select("*", F.inline(of_specs)) if chosen else counted.limit(0).selectExpr("*", "'' as spec_name", "1L as capacity", "0L as overhead")
     net = F.col("capacity") - F.col("overhead")
