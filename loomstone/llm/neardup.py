@@ -202,7 +202,7 @@ def near_duplicates(records: DataFrame, key: str = "rec_id", text: str = "text")
     """
     texts = records.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text")).where("id is not null and text is not null")
     prints = texts.mapInArrow(_prints, "id bigint, whole bigint, keys array<bigint>, bits bigint")
-    copies = prints.select("id", "whole")
+    copies = cut(prints.select("id", "whole"))
     one = prints.groupBy("whole", "bits").agg(F.min("id").alias("id"), F.first("keys").alias("keys"))
     blocks = one.select("id", "bits", F.explode("keys").alias("key")).repartitionByRange("key", "id").sortWithinPartitions("key", "id")
     met = cut(blocks.mapInArrow(_meet, "a bigint, b bigint, key bigint, bits bigint").distinct())
@@ -210,7 +210,7 @@ def near_duplicates(records: DataFrame, key: str = "rec_id", text: str = "text")
     rest = met.where("a is null").select("key", F.col("b").alias("id"), "bits")
     links = links.unionByName(_second_round(rest, links, texts))
     twins = copies.groupBy("whole").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    same = copies.join(twins, "whole").select(F.col("rep").alias("a"), F.col("id").alias("b"))
+    same = cut(copies.join(twins, "whole").select(F.col("rep").alias("a"), F.col("id").alias("b")))
     found = connected_components(links.unionByName(same), "a", "b")
     sizes = found.groupBy("component").count().where("count > 1").select("component")
     return found.join(sizes, "component").select(F.col("component").alias("group_id"), F.col("node").alias(key))
