@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from loomstone.plans import texts  # noqa: F401
+from loomstone.plans.base import ORACLES, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
+FLAGSHIP = "sco_quality_scores"
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-FLAGSHIP = "agg1_source_shares"
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]
