@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from loomstone.plans import texts  # noqa: F401
+from loomstone.plans import relations, texts  # noqa: F401
 from loomstone.plans.base import ORACLES, QUERIES
 
-FLAGSHIP = "sco_quality_scores"
+FLAGSHIP = "agg1_source_shares"
 
 __all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]

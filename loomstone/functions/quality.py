@@ -22,39 +22,57 @@ def length_score(n: Column) -> Column:
     return F.when(n < 50, 0.2).when(n < 200, 0.5 + 0.3 * (n - 50) / 150).when(n <= 5000, 1.0).when(n <= 20000, 1.0 - 0.3 * (n - 5000) / 15000).otherwise(0.5)
 
 
-def diversity_score(words: Column) -> Column:
-    c = F.size(F.array_distinct(words)) / F.sqrt(F.size(words))
+def moments(lengths: Column) -> Column:
+    """Number, mean and population deviation of an array of doubles, in one pass."""
+    start = F.struct(F.lit(0).alias("n"), F.lit(0.0).alias("s"), F.lit(0.0).alias("q"))
+    step = lambda a, x: F.struct((a["n"] + 1).alias("n"), (a["s"] + x).alias("s"), (a["q"] + x * x).alias("q"))
+
+    def finish(a: Column) -> Column:
+        n = F.greatest(F.lit(1), a["n"])
+        mean = a["s"] / n
+        return F.struct(a["n"].alias("n"), mean.alias("mean"), F.sqrt(F.greatest(F.lit(0.0), a["q"] / n - mean * mean)).alias("deviation"))
+
+    return F.aggregate(lengths, start, step, finish)
+
+
+def word_counts(pieces: Column) -> Column:
+    return F.transform(pieces, lambda s: F.size(T.tokens(s)).cast("double"))
+
+
+def common_share(words: Column) -> Column:
+    """Share of common words; they are told by one pattern over the joined words."""
+    pattern = rf"(?<= )(?:{'|'.join(K.STOPWORDS)})(?= )"
+    found = F.regexp_count(F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" ")), F.lit(pattern))
+    return found / F.greatest(F.lit(1), F.size(words))
+
+
+def capital_share(text: Column) -> Column:
+    """Lines of more than 10 characters, and the share of them that begin with a capital or a digit."""
+    lines = F.filter(F.transform(F.split(text, "\n"), T.strip), lambda s: F.length(s) > 10)
+    return moments(F.transform(lines, lambda s: s.rlike(r"^[\p{Lu}\p{Nd}]").cast("double")))
+
+
+def diversity_score(c: Column) -> Column:
+    """From different words over the root of all words."""
     return F.when(c < 2, 0.1).when(c < 4, 0.3 + 0.4 * (c - 2) / 2).when(c <= 20, 0.8 + 0.2 * F.least(F.lit(1.0), (c - 4) / 8)).otherwise(0.9)
 
 
-def sentence_score(text: Column) -> Column:
-    lengths = F.transform(T.sentences(text), lambda s: F.size(T.tokens(s)).cast("double"))
-    n = F.size(lengths)
-    total = F.aggregate(lengths, F.lit(0.0), lambda a, x: a + x)
-    mean = total / n
-    squares = F.aggregate(lengths, F.lit(0.0), lambda a, x: a + x * x)
-    deviation = F.sqrt(F.greatest(F.lit(0.0), squares / n - mean * mean))
-    level = F.when(mean < 5, 0.3).when(mean < 10, 0.6).when(mean > 50, 0.5).otherwise(1.0)
-    return F.when(n < 2, 0.3).otherwise(0.6 * level + 0.4 * F.least(F.lit(1.0), deviation / 8))
+def sentence_score(m: Column) -> Column:
+    level = F.when(m["mean"] < 5, 0.3).when(m["mean"] < 10, 0.6).when(m["mean"] > 50, 0.5).otherwise(1.0)
+    return F.when(m["n"] < 2, 0.3).otherwise(0.6 * level + 0.4 * F.least(F.lit(1.0), m["deviation"] / 8))
 
 
-def paragraph_score(text: Column, n_words: Column) -> Column:
-    parts = T.paragraphs(text)
-    n = F.size(parts)
-    mean = F.aggregate(F.transform(parts, lambda p: F.size(T.tokens(p)).cast("double")), F.lit(0.0), lambda a, x: a + x) / n
-    return F.when(n == 0, 0.2).when(n == 1, F.when(n_words > 200, 0.5).otherwise(0.7)).when((mean >= 30) & (mean <= 200), 1.0).when(mean < 10, 0.4).otherwise(0.7)
+def paragraph_score(m: Column, n_words: Column) -> Column:
+    several = F.when((m["mean"] >= 30) & (m["mean"] <= 200), 1.0).when(m["mean"] < 10, 0.4).otherwise(0.7)
+    return F.when(m["n"] == 0, 0.2).when(m["n"] == 1, F.when(n_words > 200, 0.5).otherwise(0.7)).otherwise(several)
 
 
-def naturalness_score(words: Column) -> Column:
-    common = F.array(*[F.lit(w) for w in K.STOPWORDS])
-    share = F.size(F.filter(words, lambda w: F.array_contains(common, w))) / F.size(words)
+def naturalness_score(share: Column) -> Column:
     return F.when((share >= 0.30) & (share <= 0.60), 1.0).when((share >= 0.20) & (share < 0.30), 0.6).when(share < 0.20, 0.3).when(share <= 0.70, 0.7).otherwise(0.3)
 
 
-def capital_score(text: Column) -> Column:
-    lines = F.filter(F.transform(F.split(text, "\n"), T.strip), lambda s: F.length(s) > 10)
-    starts = F.size(F.filter(lines, lambda s: s.rlike(r"^[\p{Lu}\p{Nd}]")))
-    return F.when(F.size(lines) == 0, 0.5).otherwise(F.least(F.lit(1.0), starts / F.size(lines) + 0.2))
+def capital_score(m: Column) -> Column:
+    return F.when(m["n"] == 0, 0.5).otherwise(F.least(F.lit(1.0), m["mean"] + 0.2))
 
 
 def top_gram_share(words: Column, n: int = 3) -> Column:
@@ -70,9 +88,8 @@ def top_gram_share(words: Column, n: int = 3) -> Column:
     return F.when(size >= n, F.aggregate(grams, start, step)["most"] / (size - (n - 1)))
 
 
-def repetition_score(words: Column) -> Column:
-    share = top_gram_share(words)
-    return F.when(F.size(words) < 50, 0.7).when(share > 0.05, 0.2).when(share > 0.02, 0.6).otherwise(1.0)
+def repetition_score(share: Column, n_words: Column) -> Column:
+    return F.when(n_words < 50, 0.7).when(share > 0.05, 0.2).when(share > 0.02, 0.6).otherwise(1.0)
 
 
 def hits(text: Column, patterns: list[str], fold: bool = True) -> Column:
@@ -82,18 +99,15 @@ def hits(text: Column, patterns: list[str], fold: bool = True) -> Column:
     return total
 
 
-def boilerplate_score(text: Column) -> Column:
-    n = hits(text, K.BOILERPLATE)
+def boilerplate_score(n: Column) -> Column:
     return F.when(n == 0, 1.0).when(n <= 2, 0.7).when(n <= 4, 0.4).otherwise(0.1)
 
 
-def template_score(text: Column) -> Column:
-    n = hits(text, K.TEMPLATES, fold=False)
+def template_score(n: Column) -> Column:
     return F.when(n == 0, 1.0).otherwise(F.greatest(F.lit(0.2), 1.0 - 0.3 * n))
 
 
-def clean_score(text: Column, n_words: Column) -> Column:
-    links = F.regexp_count(text, F.lit(K.URL)) + F.regexp_count(text, F.lit(K.EMAIL))
+def clean_score(links: Column, n_words: Column) -> Column:
     density = links / F.greatest(F.lit(1), n_words) * 100
     return F.when(density < 0.5, 1.0).when(density < 2, 0.7).when(density < 5, 0.4).otherwise(0.1)
 
@@ -101,24 +115,38 @@ def clean_score(text: Column, n_words: Column) -> Column:
 def scored(documents: DataFrame, text: str = "text") -> DataFrame:
     """All sub-scores and ``quality_score``; texts of fewer than 20 words score 0 and have no sub-scores."""
     t = F.col(text)
-    # ``inline`` keeps what is computed once from being repeated in every expression that uses it
-    counted = documents.select("*", F.inline(F.array(F.struct(T.words(t).alias("_w")))))
-    counted = counted.withColumn("_n", F.size("_w"))
-    w, n = F.col("_w"), F.col("_n")
+    keep = documents.columns
+    # ``inline`` keeps what is measured once from being repeated in every expression that uses it
+    counted = documents.select(*keep, F.inline(F.array(F.struct(T.words(t).alias("_w")))))
+    w, n = F.col("_w"), F.size("_w")
+    measures = F.struct(
+        n.alias("n_words"),
+        (F.size(F.array_distinct(w)) / F.sqrt(F.greatest(F.lit(1), n))).alias("_distinct"),
+        moments(word_counts(T.sentences(t))).alias("_sentences"),
+        moments(word_counts(T.paragraphs(t))).alias("_paragraphs"),
+        common_share(w).alias("_common"),
+        capital_share(t).alias("_capitals"),
+        F.when(n >= 50, top_gram_share(w)).alias("_top"),
+        hits(t, K.BOILERPLATE).alias("_boilerplate"),
+        hits(t, K.TEMPLATES, fold=False).alias("_template"),
+        (F.regexp_count(t, F.lit(K.URL)) + F.regexp_count(t, F.lit(K.EMAIL))).alias("_links"),
+    )
+    measured = counted.select(*keep, F.inline(F.array(measures)))
+    c, n = F.col, F.col("n_words")
     parts = {
         "length": length_score(n),
-        "diversity": diversity_score(w),
-        "sentences": sentence_score(t),
-        "paragraphs": paragraph_score(t, n),
-        "naturalness": naturalness_score(w),
-        "capitals": capital_score(t),
-        "repetition": repetition_score(w),
-        "boilerplate": boilerplate_score(t),
-        "template": template_score(t),
-        "clean": clean_score(t, n),
+        "diversity": diversity_score(c("_distinct")),
+        "sentences": sentence_score(c("_sentences")),
+        "paragraphs": paragraph_score(c("_paragraphs"), n),
+        "naturalness": naturalness_score(c("_common")),
+        "capitals": capital_score(c("_capitals")),
+        "repetition": repetition_score(c("_top"), n),
+        "boilerplate": boilerplate_score(c("_boilerplate")),
+        "template": template_score(c("_template")),
+        "clean": clean_score(c("_links"), n),
     }
     sub_scores = F.struct(*[F.when(n >= 20, v).alias(f"s_{k}") for k, v in parts.items()])
-    found = counted.select(*documents.columns, n.alias("n_words"), F.inline(F.array(sub_scores)))
+    found = measured.select(*keep, n, F.inline(F.array(sub_scores)))
     total = F.lit(0.0)
     for k, weight in K.WEIGHTS.items():
         total = total + weight * F.col(f"s_{k}")
