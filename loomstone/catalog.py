@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomstone.plans import relations, texts, training  # noqa: F401
+from loomstone.plans import evaluation, relations, texts, training  # noqa: F401
 from loomstone.plans.base import ORACLES, QUERIES
 
 FLAGSHIP = "agg1_source_shares"
