@@ -38,6 +38,7 @@ _FILL = "\u2060"
 _TAIL = re.compile(r"(?:['’\u2060]|\s?\[\d+\]|[¹²³⁴-⁹]+)*")
 _WORD_BEFORE = re.compile(r"[^\s.,;:!?()\[\]«»\"“”„]+(?:\.[^\s.,;:!?()\[\]«»\"“”„]+)*$")
 _WORD = re.compile(r"[^\W\d_]+")
+_INITIAL = re.compile(r"[^\W\d_]\.")
 _CODE_NAME = re.compile(r"[a-z]+[a-z]*[_\d]\w*|[a-z]+[A-Z]\w*")
 _DAMAGED = re.compile(r"&(?:quot|#34|#x22|ldquo|rdquo);|â€(?:œ|\x9d)|&(?:apos|#39|#x27|rsquo|lsquo);|â€(?:™|˜)|&(?:laquo|raquo);")
 _FENCE = re.compile(r"\s{0,3}(```+|~~~+)")
@@ -145,6 +146,8 @@ def _stop_ends(text: str, begin: int, s: int, e: int, after: int, end: int) -> b
             return True
         if len(own) == 1 and own.isalpha() and not _CASELESS.match(own) and own.isupper():
             return False
+        if len(own) == 1 and own.isalpha() and _INITIAL.match(text, m):
+            return False
         if own.isdigit() and len(own) <= 2:
             follow = _WORD.match(text, m)
             if follow and follow[0].lower() in _MONTHS:
