@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from loomstone.functions import constants as K  # noqa: F401
-from loomstone.operators.dedup import content_key
+from loomstone.operators.dedup import bands, content_key, greedy_keep, signatures, similar_pairs, similarity
+from loomstone.session import cut
 
 LATE = "1 day"
 
@@ -86,8 +86,6 @@ def stalled(events: DataFrame, group: str, seconds: int) -> DataFrame:
 
 def near_duplicate_batches(documents: DataFrame, key: str, text: str, index_path: str, verdicts_path: str) -> DataFrame:
     """Micro-batches filtered against the bands of all that was kept before; the index and the verdicts are tables, so a restart goes on from them."""
-    from loomstone.operators.dedup import bands, signatures, similar_pairs, greedy_keep, similarity
-
     def one(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
         signed = signatures(batch.where(F.col(text).isNotNull()), key, text).persist()
@@ -101,12 +99,12 @@ def near_duplicate_batches(documents: DataFrame, key: str, text: str, index_path
         except Exception as error:  # the first batch has no index
             if "PATH_NOT_FOUND" not in str(error):
                 raise
-        fresh = fresh.persist()
-        kept = greedy_keep(fresh, similar_pairs(fresh, key), key)
+        # a checkpoint, as a cached table that reads the index would be read anew once the index grows
+        fresh = cut(fresh)
+        kept = cut(greedy_keep(fresh, similar_pairs(fresh, key), key))
         kept.write.mode("append").parquet(index_path)
         kept.select(key).write.mode("append").parquet(verdicts_path)
         signed.unpersist()
-        fresh.unpersist()
 
     query = documents.writeStream.foreachBatch(one).option("checkpointLocation", f"{verdicts_path}-checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
