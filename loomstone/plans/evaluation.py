@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -10,7 +12,8 @@ from loomstone.functions import constants as K
 from loomstone.functions import quality as Q
 from loomstone.functions import turns as U
 from loomstone.operators import classify, mixing, records
-from loomstone.plans.base import QUERIES, any_of, lit, query, starts, strip, tokens, turns
+from loomstone.plans.base import ORACLES, QUERIES, any_of, lit, query, starts, strip, tokens, turns
+from loomstone.session import ensure_checkpoint_dir
 from loomstone.streaming import streams
 
 # Outputs to check: the first answer of each record, under the item whose number, counted from 0 in the order of ids, its hash gives.
@@ -201,15 +204,10 @@ def _streamed(name, sql=None):
     """Register a query whose rows come out of a stream run to its end."""
 
     def wrap(build):
-        def run(spark, sf_dir):
-            return build(spark, sf_dir)
-
-        QUERIES[name] = run
+        QUERIES[name] = build
         if sql:
-            from loomstone.plans.base import ORACLES
-
             ORACLES[name] = sql
-        return run
+        return build
 
     return wrap
 
@@ -227,6 +225,14 @@ def stm3(spark, sf_dir):
     return streams.drain(found.select("key"), "append", f"distinct_{abs(hash(sf_dir))}").agg(F.count(F.lit(1)).alias("n"))
 
 
+@_streamed("stm4_near_duplicate_stream")
+def stm4(spark, sf_dir):
+    """Documents kept by the incremental search; its index and verdicts are tables in the shared folder."""
+    folder = f"{ensure_checkpoint_dir(spark)}/stm4-{uuid.uuid4().hex}"
+    stream = streams.stream_table(spark, sf_dir, "documents", files=4)
+    return streams.near_duplicate_batches(stream, "doc_id", "text", f"{folder}/index", f"{folder}/verdicts")
+
+
 @_streamed("stm5_running_counts", "select event_type, count(*) as n, round(sum(value), 4) as total from events group by 1")
 def stm5(spark, sf_dir):
     return streams.drain(streams.running_counts(streams.stream_table(spark, sf_dir, "events"), "event_type"), "complete", f"counts_{abs(hash(sf_dir))}")

@@ -19,8 +19,8 @@ def stream_table(spark: SparkSession, sf_dir: str, name: str, files: int = 1) ->
     """A parquet table as a file stream."""
     path = f"{sf_dir}/{name}.parquet"
     schema = spark.read.parquet(path).schema
-    # a table may be one file or a folder of files
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).option("pathGlobFilter", "*.parquet").parquet(path if _is_folder(spark, path) else f"{sf_dir}/{name}*.parquet")
+    # a table may be a folder of files or one file, which a file stream takes as a pattern only
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).option("pathGlobFilter", "*.parquet").parquet(path if _is_folder(spark, path) else f"{sf_dir}/{name}.parque[t]")
 
 
 def _is_folder(spark: SparkSession, path: str) -> bool:

@@ -207,3 +207,26 @@ def test_stream_of_near_duplicates_keeps_its_index(spark, tmp_path):
 
 def test_stop_words_are_whole():
     assert len(K.STOPWORDS) == len(set(K.STOPWORDS)) == 111 and len(K.BOILERPLATE) == 13
+
+
+def test_stages_resume_and_logs_append(spark, tmp_path):
+    from loomstone.plans.stages import append_log, run_stages
+
+    calls = []
+
+    def stage(name, fails=False):
+        def build(s, done):
+            calls.append(name)
+            if fails:
+                raise RuntimeError(name)
+            return s.range(3 + len(done))
+
+        return name, build
+
+    with pytest.raises(RuntimeError):
+        run_stages(spark, f"{tmp_path}/run", [stage("a"), stage("b", fails=True)])
+    done = run_stages(spark, f"{tmp_path}/run", [stage("a"), stage("b"), stage("c")], until="b")
+    assert calls == ["a", "b", "b"] and done["b"].count() == 4 and list(done) == ["a", "b"]
+    for i in range(2):
+        append_log(spark, f"{tmp_path}/log", step=i, loss=0.5)
+    assert files.read_log(spark, f"{tmp_path}/log", 10).count() == 2
