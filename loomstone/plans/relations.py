@@ -11,6 +11,7 @@ from loomstone.functions import turns as U
 from loomstone.operators import dedup, mixing, records
 from loomstone.plans.base import query, strip, tokens, turns, words
 from loomstone.plans.texts import prompt_key_sql
+from loomstone.session import spread
 
 D = "documents where text is not null"
 _KEY = "substr(md5(substr(text, 1, 2000)), 1, 24)"
@@ -93,28 +94,28 @@ def mh1(t):
 
 @query("mh2_signatures")
 def mh2(t):
-    return dedup.signatures(docs(t), "doc_id", "text").select("doc_id", "shingles", "signature")
+    return dedup.signatures(spread(docs(t).select("doc_id", "text")), "doc_id", "text").select("doc_id", "shingles", "signature")
 
 
 @query("mh4_bands")
 def mh4(t):
-    return dedup.bands(dedup.signatures(docs(t), "doc_id", "text"), "doc_id")
+    return dedup.bands(dedup.signatures(spread(docs(t).select("doc_id", "text")), "doc_id", "text"), "doc_id")
 
 
 @query("mh5_similar_pairs")
 def mh5(t):
-    return dedup.similar_pairs(dedup.signatures(docs(t), "doc_id", "text"), "doc_id")
+    return dedup.similar_pairs(dedup.signatures(spread(docs(t).select("doc_id", "text")), "doc_id", "text"), "doc_id")
 
 
 @query("mh6_kept_documents")
 def mh6(t):
-    signed = dedup.cut(dedup.signatures(docs(t), "doc_id", "text"))
+    signed = dedup.cut(dedup.signatures(spread(docs(t).select("doc_id", "text")), "doc_id", "text"))
     return dedup.greedy_keep(signed.select("doc_id"), dedup.similar_pairs(signed, "doc_id"), "doc_id")
 
 
 @query("mh7_index_stats")
 def mh7(t):
-    return dedup.index_stats(dedup.signatures(docs(t), "doc_id", "text"), "doc_id")
+    return dedup.index_stats(dedup.signatures(spread(docs(t).select("doc_id", "text")), "doc_id", "text"), "doc_id")
 
 
 @query("join_inner_scored", "select m.id, c.model_id from messages m join (select distinct id, model_id from chats) c on m.chat_id = c.id where c.model_id is not null")

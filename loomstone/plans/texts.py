@@ -10,6 +10,7 @@ from loomstone.functions import quality as Q
 from loomstone.functions import text as T
 from loomstone.functions import turns as U
 from loomstone.plans.base import any_of, blocks, joined, lit, newlines, query, strip, tokens, turns, unix, words
+from loomstone.session import spread
 from loomstone.sources import files
 
 # Our own lexicon of unsafe wording, and languages whose code pairs are left out.
@@ -302,7 +303,7 @@ SCORES_SQL = _scores_sql()
 @query("sco_quality_scores", SCORES_SQL)
 def sco(t):
     """Sub-scores and the combined score of every document."""
-    s = Q.scored(t("documents").where("text is not null").select("doc_id", "text"))
+    s = Q.scored(spread(t("documents").where("text is not null").select("doc_id", "text")))
     return s.select("doc_id", "n_words", *[F.round(f"s_{k}", 4).alias(f"s_{k}") for k in K.WEIGHTS], F.col("quality_score"))
 
 
@@ -358,7 +359,8 @@ DEFECTS_SQL = _defect_sql()
 
 @query("fil6_conversation_defects", DEFECTS_SQL)
 def fil6(t):
-    return t("download_instruct").where("text is not null").select("rec_id", U.defect(U.parse(F.col("text")), F.col("source")).alias("reason"))
+    rows = spread(t("download_instruct").where("text is not null").select("rec_id", "text", "source"))
+    return rows.select("rec_id", U.defect(U.parse(F.col("text")), F.col("source")).alias("reason"))
 
 
 @query("agg2_drop_reasons", f"with d as ({DEFECTS_SQL}) select coalesce(reason, 'kept') as reason, count(*) as n from d group by 1")

@@ -52,6 +52,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A plain scan with fewer partitions than the cluster has cores, dealt out to all of them.
+
+    Small files are one partition each, whatever their rows cost; larger tables
+    have enough and aren't shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.rdd().getNumPartitions() < cores else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the parquet tables of ``sf_dir``."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
