@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -62,7 +63,7 @@ REPEAT = r"\b(?:repeat|say after me|copy (?:the|this|out)|word for word|verbatim
 FUNCTION_WORDS = "the a an of to and in is was were for that by with from as be are at on or but its their his her than then which who whose into beside between over under near because when if while not der die das und ist mit den dem des ein eine von zu im am auf für le la les de des du et est un une que qui pour dans par sur avec el los las del y en es una por con para и в на не с из по для"
 
 DEFECTS = ("empty", "truncated", "refusal", "copied", "other_language")
-FUNCTIONS = {"empty": 4, "truncated": 8, "refusal": 4, "copied": 4, "other_language": 4}
+FUNCTIONS = {"empty": 4, "truncated": 8, "refusal": 5, "copied": 4, "other_language": 4}
 CUTOFFS = {"empty": 0.5, "truncated": 0.5, "refusal": 0.5, "copied": 0.5, "other_language": 0.5}
 """Posteriors above which a label is kept; validated on the labelled pairs of tests/llm/test_llm.py."""
 PRIOR_SHARE, PRIOR_HIT, PRIOR_CLEAR, PRIOR_WEIGHT = 0.05, 0.9, 0.98, 0.02
@@ -81,6 +82,7 @@ _STYLES = [
     re.compile(r"(?m)^[ \t]*(?:\*\*)?(?:(?P<u>Human|HUMAN|human)|(?P<a>AI|Ai|Assistant|ASSISTANT|Bot|Model)|(?P<s>System|SYSTEM|system))(?:\*\*)?[ \t]*[:：](?:\*\*)?"),
     re.compile(r"(?m)^[ \t]*(?:\*\*)?(?:(?P<u>Question|QUESTION|question|Q|Instruction|Prompt|Customer|Client)|(?P<a>Answer|ANSWER|answer|A|Response|Reply|Agent)|(?P<s>System|SYSTEM|system))(?:\*\*)?[ \t]*[:：](?:\*\*)?"),
 ]
+_SENTENCE_END = re.compile(r"[.!?。！？।؟]+[\"'”»)]*(?=\s|$)|[。！？।؟]|\n")
 _UNSEEN = "​‌‍⁠﻿­"
 _WORD = re.compile(r"[^\W_]+(?:['’][^\W\d_]+)?")
 _PLACEHOLDER = re.compile(rf"^[\s\W_]*(?:(?:no|empty|missing|without)?\s*(?:response|answer|output|reply|content|text)|{_labels(PLACEHOLDERS)}|(?:to be|not) (?:added|answered|available|provided|filled in))[\s\W_]*$", re.I)
@@ -88,7 +90,8 @@ _END = re.compile(r"(?:[.!?…。！？｡।॥؟۔](?:\s?[\"'”’“»)\]」
 _REFUSAL = [re.compile(p) for p in REFUSAL]
 _SIGNS = [s.replace("_", " ") for s in REFUSAL_SIGNS.split()]
 _SORRY = re.compile(SORRY, re.I)
-_TRAP = re.compile(r"^\s*(?:you (?:could|can|might) (?:write|say|tell)|(?:write|say|try|tell \w+)\s*:|here is (?:a|one) (?:way|draft))|[\"“][^\"”]{0,60}(?:sorry|can[’']?t|cannot)|\bnot able to \w+ every\b|\bhere (?:is|are) what\b|\bsorry to hear\b", re.I)
+_TRAP_BEGIN = re.compile(r"\s*(?:you (?:could|can|might) (?:write|say|tell)|(?:write|say|try|tell \w+)\s*:|here is (?:a|one) (?:way|draft))", re.I)
+_TRAP = re.compile(r"[\"“][^\"”]{0,60}(?:sorry|can[’']?t|cannot)|\bnot able to \w+ every\b|\bhere (?:is|are) what\b|\bsorry to hear\b", re.I)
 _TRANSLATE, _REPEAT = re.compile(TRANSLATE, re.I), re.compile(REPEAT, re.I)
 _NAMED = {code: re.compile("|".join(re.escape(w) for w in words.split()), re.I) for code, words in LANGUAGES.items()}
 _ANY_NAMED = re.compile("|".join(re.escape(w) for words in LANGUAGES.values() for w in words.split()), re.I)
@@ -177,7 +180,7 @@ def vote(question: str, answer: str | None) -> tuple[dict[str, tuple[int, ...]],
     bare = (answer or "").strip(_UNSEEN + " \t\n 　")
     empties = _empty_votes(answer, bare)
     if max(empties) > 0:
-        return {"empty": empties, "truncated": (0,) * 8, "refusal": (0,) * 4, "copied": (0,) * 4, "other_language": (0,) * 4}, None
+        return {"empty": empties, "truncated": (0,) * 8, "refusal": (0,) * 5, "copied": (0,) * 4, "other_language": (0,) * 4}, None
     low = bare.lower()
     words = _WORD.findall(low)
     asked = _WORD.findall(question.lower())
@@ -198,18 +201,44 @@ def _empty_votes(answer: str | None, bare: str) -> tuple[int, ...]:
 
 
 def _refusal_votes(question: str, bare: str, words: list[str]) -> tuple[int, ...]:
-    head = bare[:400].replace("’", "'")
-    low = head.lower()
-    said = any(sign in low for sign in _SIGNS) and any(p.search(low) for p in _REFUSAL)
-    if not said:
-        return (-1, 0, 0, 0)
-    trap = bool(_TRAP.search(head))
+    """Wording; no trap; short answer; apology; place of the wording. The whole answer is searched."""
+    text = bare.replace("’", "'")
+    low = text.lower()
+    if not any(sign in low for sign in _SIGNS):
+        return (-1, 0, 0, 0, 0)
+    places = sorted(m.start() for p in _REFUSAL for m in p.finditer(low))
+    if not places:
+        return (-1, 0, 0, 0, 0)
+    spans = _sentence_spans(low)
+    quotes = [m.start() for m in re.finditer('"', low)]
+    at = sorted({bisect_right(spans, (place, len(low))) - 1 for place in places})
+    own = [i for i in at if not _trapped(low, spans, quotes, i)]
     sentences = len(re.findall(r"[.!?。！？।؟](?=\s|$)", bare))
     brief = len(words) <= 40 and sentences <= 3
-    sorry = bool(_SORRY.search(head))
-    if trap:  # the wording is quoted, or it declines only a part
-        return (-1, -1, 0, -1)
-    return (1, 1, 1 if brief else -1, 1 if sorry else 0)
+    if not own or _TRAP_BEGIN.match(low):  # the wording is quoted, or it declines only a part
+        return (-1, -1, 0, -1, 0)
+    sorry = any(_SORRY.search(low, spans[max(0, i - 1)][0], spans[min(len(spans) - 1, i + 1)][1]) for i in own)
+    edge = own[0] <= 1 or own[-1] >= len(spans) - 2
+    return (1, 1, 1 if brief else -1, 1 if sorry else 0, 1 if edge else -1)
+
+
+def _sentence_spans(text: str) -> list[tuple[int, int]]:
+    """Beginning and end of the sentences; a line break ends one as well."""
+    spans, begin = [], 0
+    for m in _SENTENCE_END.finditer(text):
+        if text[begin : m.end()].strip():
+            spans.append((begin, m.end()))
+            begin = m.end()
+    if text[begin:].strip() or not spans:
+        spans.append((begin, len(text)))
+    return spans
+
+
+def _trapped(low: str, spans: list[tuple[int, int]], quotes: list[int], i: int) -> bool:
+    """Whether a sentence with refusal wording only quotes it or declines a part, by itself and the sentences beside it."""
+    begin, end = spans[max(0, i - 1)][0], spans[min(len(spans) - 1, i + 1)][1]
+    # a straight mark opens a quotation only if an even number of them stands before it
+    return any(m[0][0] != '"' or bisect_left(quotes, m.start()) % 2 == 0 for m in _TRAP.finditer(low, begin, end))
 
 
 def _copied_votes(question: str, asked: list[str], words: list[str]) -> tuple[int, ...]:
