@@ -146,6 +146,13 @@ def agg8(t):
     return matrix.select("category", *[F.round(n, 6).alias(n) for n in names])
 
 
+@query("agg8_accuracy_by_condition", f"{_SCORED} select category, condition, count(*) as n, count(ok) as n_scored, round(avg(ok), 6) as accuracy from s group by category, condition")
+def agg8_long(t):
+    """The cells of the matrix over every condition present, null and other spellings included; accuracy is null where nothing was scored."""
+    cells = scored(t).groupBy("category", "condition")
+    return cells.agg(F.count(F.lit(1)).alias("n"), F.count("ok").alias("n_scored"), F.round(F.avg("ok"), 6).alias("accuracy"))
+
+
 def _models(t):
     texts = t("quality").where("text is not null")
     good = Q.scored(texts.select("text_id", "text")).where("quality_score >= 0.9").select("text_id", "text")
