@@ -162,6 +162,15 @@ def join_tree(t):
     return paths.select("id", F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"))
 
 
+@query("join_thread_paths_all", _TREE.replace("chat_id in (select id from chats where pinned = 1)", "chat_id is not null"))
+def join_tree_all(t):
+    """The same paths in every chat; only messages without a chat or a time, which have no place in a chat, are left out."""
+    rows = t("messages").where("chat_id is not null and created_at is not null")
+    nodes = rows.withColumn("up", F.lag("id").over(Window.partitionBy("chat_id").orderBy("created_at", "id")))
+    paths = records.thread_paths(nodes, "id", "up", "role", "content")
+    return paths.select("id", F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"))
+
+
 @query("agg1_source_shares", f"select source, count(*) as n, sum(len({tokens('text')})) as tokens, round(sum(len({tokens('text')})) / sum(sum(len({tokens('text')}))) over (), 6) as share from {D} group by source")
 def agg1(t):
     per = docs(t).groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size(T.tokens(F.col("text")))).alias("tokens"))

@@ -14,3 +14,22 @@ def test_matrix_holds_every_condition(spark):
     want = {r.source for r in have.select("rec_id").join(sources, "rec_id").select("source").distinct().collect()}
     assert {c.condition for c in cells} == want and len(want) > 3
     assert sum(c.n for c in cells) == have.count() and sum(c.n_scored for c in cells) == have.where("ok is not null").count()
+
+
+def test_trees_of_every_chat_are_walked(spark):
+    messages = spark.read.parquet(f"{SF}/messages.parquet").collect()
+    chats = {}
+    for m in messages:
+        if m.chat_id is not None and m.created_at is not None:
+            chats.setdefault(m.chat_id, []).append(m)
+    want = set()
+    for rows in chats.values():
+        rows.sort(key=lambda m: (m.created_at, m.id))
+        path = []
+        for m in rows[:12]:
+            path.append(str(m.id))
+            if m.role == "assistant":
+                want.add((m.id, ">".join(path)))
+    got = entry.queries()["join_thread_paths_all"](spark, SF).collect()
+    pinned = entry.queries()["join_thread_paths"](spark, SF).count()
+    assert len(got) == len(want) > pinned and {(r.id, r.path) for r in got} == want
