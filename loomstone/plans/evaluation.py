@@ -228,8 +228,8 @@ def stm2(spark, sf_dir):
 
 @_streamed("stm3_distinct_stream", "select count(distinct md5(substr(text, 1, 2000))) as n from documents")
 def stm3(spark, sf_dir):
-    found = streams.distinct_stream(streams.stream_table(spark, sf_dir, "documents"), "text", "fetched_at")
-    return streams.drain(found.select("key"), "append", f"distinct_{abs(hash(sf_dir))}").agg(F.count(F.lit(1)).alias("n"))
+    found = streams.distinct_stream(streams.stream_table(spark, sf_dir, "documents"), "text")
+    return streams.drain_to(found.select("key"), f"{ensure_checkpoint_dir(spark)}/stm3-{uuid.uuid4().hex}").agg(F.count(F.lit(1)).alias("n"))
 
 
 @_streamed("stm4_near_duplicate_stream")

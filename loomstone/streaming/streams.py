@@ -39,6 +39,16 @@ def drain(stream: DataFrame, mode: str, name: str) -> DataFrame:
     return spark.table(name)
 
 
+def drain_to(stream: DataFrame, path: str) -> DataFrame:
+    """Run a stream that only appends over what is there into a table of its own, none of which goes to the driver."""
+    query = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", f"{path}-checkpoint").trigger(availableNow=True).start()
+    try:
+        query.awaitTermination()
+    finally:
+        query.stop()
+    return stream.sparkSession.read.schema(stream.schema).parquet(path)
+
+
 def alert_stream(events: DataFrame, most: float) -> DataFrame:
     """Rows of a log whose value is no number or above the limit."""
     kind = F.when(F.isnan("value"), "nan").when(F.col("value") > most, "diverging")
@@ -60,11 +70,10 @@ def sessions(events: DataFrame, gap: str, user: str) -> DataFrame:
     return found.select(F.col("session_window.start").cast("timestamp_ntz").alias("start"), user, "n")
 
 
-def distinct_stream(documents: DataFrame, text: str, time: str) -> DataFrame:
-    """The first copy of each text as it comes in; state older than LATE is forgotten."""
+def distinct_stream(documents: DataFrame, text: str) -> DataFrame:
+    """The first copy of each text as it comes in, whatever its time; the key of every distinct text is kept as state, for as long as the stream has its checkpoint."""
     keyed = documents.where(F.col(text).isNotNull()).withColumn("key", content_key(F.col(text)))
-    timed = keyed.withColumn("_time", F.coalesce(F.col(time).cast("timestamp"), F.lit("2000-01-01").cast("timestamp"))).withWatermark("_time", "365 days")
-    return timed.dropDuplicatesWithinWatermark(["key"]).drop("_time")
+    return keyed.dropDuplicates(["key"])
 
 
 def stalled(events: DataFrame, group: str, seconds: int) -> DataFrame:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import datetime
+
+import pytest
+
 import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
@@ -33,3 +37,17 @@ def test_trees_of_every_chat_are_walked(spark):
     got = entry.queries()["join_thread_paths_all"](spark, SF).collect()
     pinned = entry.queries()["join_thread_paths"](spark, SF).count()
     assert len(got) == len(want) > pinned and {(r.id, r.path) for r in got} == want
+
+
+@pytest.mark.parametrize(
+    ("texts", "want"),
+    [
+        ([("a", 2024), ("b", None), ("c", None), ("d", 2001), ("e", None)], 5),  # none may be lost as late
+        ([("a", 2024), ("b", None), ("c", 2024), ("b", 2024), ("b", None)], 3),  # none may be forgotten and counted again
+    ],
+)
+def test_distinct_stream_counts_rows_without_a_time_and_late_ones(spark, tmp_path, texts, want):
+    for i, (text, year) in enumerate(texts):
+        rows = [(i, text, year and datetime.datetime(year, 5, 1)), (100 + i, None, None)]
+        spark.createDataFrame(rows, "doc_id long, text string, fetched_at timestamp").coalesce(1).write.mode("append").parquet(f"{tmp_path}/documents.parquet")
+    assert entry.queries()["stm3_distinct_stream"](spark, str(tmp_path)).first().n == want
