@@ -186,8 +186,10 @@ def vote(question: str, answer: str | None) -> tuple[dict[str, tuple[int, ...]],
     asked = _WORD.findall(question.lower())
     copied = _copied_votes(question, asked, words)
     refusal = _refusal_votes(question, bare, words)
-    truncated, last = _truncated_votes(question, bare, words) if sum(copied) < 1 and sum(refusal) < 1 else ((-1,) * 2 + (0,) * 6, None)
-    other = _language_votes(question, asked, bare, words) if sum(copied) < 1 else (0,) * 4
+    truncated, last = _truncated_votes(question, bare, words)
+    if truncated[0] > 0 and sum(copied) >= 1 and words[-3:] == asked[-3:]:  # a copy without marks that goes to the question's end is whole
+        truncated, last = (0, *truncated[1:5], -1, 0, 0), None
+    other = _language_votes(question, asked, bare, words)
     return {"empty": empties, "truncated": truncated, "refusal": refusal, "copied": copied, "other_language": other}, last
 
 

@@ -41,3 +41,19 @@ def test_refusal_wording_counts_wherever_it_stands(answer, want):
         assert votes == (1, 1, -1, 0, -1)
     else:
         assert labels("Who dug the quarry?", answer) == want
+
+
+QUESTION = "Why did the town sell the old stone mill by the river in 1880, and who among the people of the valley was against it at that time?"
+
+
+@pytest.mark.parametrize(
+    ("question", "answer", "want"),
+    [
+        ("Tell me about the quarry.", "I'm sorry, but I can't help with the quarry because it", {"refusal", "truncated"}),
+        (QUESTION, QUESTION[:110].rsplit(" ", 1)[0], {"copied", "truncated"}),
+        (QUESTION, QUESTION, {"copied"}),
+        (QUESTION, QUESTION.upper().replace(",", "").replace("?", ""), {"copied"}),
+    ],
+)
+def test_one_defect_does_not_silence_another(question, answer, want):
+    assert labels(question, answer) == want
