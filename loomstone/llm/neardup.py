@@ -131,24 +131,28 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return out(None, ids, key, bits)
 
     opened = False
+    continued = False
     tail: list[np.ndarray] | None = None
-    for key, ids, bits, _ in _runs(batches):
+    for key, ids, bits, goes_on in _runs(batches):
         if not len(key):
             continue
         starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         sizes = np.diff(np.concatenate([starts, [len(key)]]))
+        large = sizes > ALL_PAIRS
+        large[0] |= continued  # what is left of a block that was cut belongs to a large one
+        continued = goes_on
         if not opened:  # the first run may have begun in another partition
             opened = True
             yield edge(key[: sizes[0]], ids[: sizes[0]], bits[: sizes[0]])
         tail = [a[starts[-1] :] for a in (key, ids, bits)]
         for d in range(1, ALL_PAIRS):
-            near = np.flatnonzero(np.repeat(sizes > d, sizes) & np.repeat(sizes <= ALL_PAIRS, sizes))
+            near = np.flatnonzero(np.repeat((sizes > d) & ~large, sizes))
             near = near[near + d < len(key)]
             near = near[key[near] == key[near + d]]
             if not len(near):
                 break
             yield from _close(out, ids[near], ids[near + d], bits[near], bits[near + d])
-        big = np.flatnonzero(np.repeat(sizes > ALL_PAIRS, sizes))
+        big = np.flatnonzero(np.repeat(large, sizes))
         if len(big):
             head = np.repeat(starts, sizes)[big]
             yield from _close(out, ids[head], ids[big], bits[head], bits[big])
