@@ -267,6 +267,29 @@ def _mended(match: re.Match) -> str:
     return mark + _FILL * (len(own) - 1)
 
 
+def _indent(line: str) -> int:
+    wide = line.expandtabs(4)
+    return len(wide) - len(wide.lstrip())
+
+
+def _item(text: str, start: int, end: int, depth: int, outer: list[tuple[int, int]], out: list[tuple[int, int]]) -> None:
+    """Units of a list item with lines that aren't indented: where one follows a finished sentence, the item ends; it belongs to an outer item or is prose."""
+    spans: list[tuple[int, int]] = []
+    _paragraph(text, start, end, spans)
+    begins = {a for a, _ in spans}
+    for at, held in outer:
+        first = at
+        while text[first].isspace():
+            first += 1
+        if first in begins and held < depth:
+            _unit(text, start, at, out)
+            start, depth = at, held
+            if not held:
+                _paragraph(text, start, end, out)
+                return
+    _unit(text, start, end, out)
+
+
 def sentences(text: str | None) -> list[tuple[int, int]]:
     """Start and end (exclusive, in code points) of each unit of ``text``."""
     out: list[tuple[int, int]] = []
@@ -275,6 +298,9 @@ def sentences(text: str | None) -> list[tuple[int, int]]:
     if "&" in text or "â€" in text:
         text = _DAMAGED.sub(_mended, text)
     state, begin, fence, lines = "", 0, "", 0
+    # indentations of the open list levels, and lines of an item no further in than its mark: start and levels that hold them
+    levels: list[int] = []
+    outer: list[tuple[int, int]] = []
 
     def close(at: int) -> None:
         nonlocal state
@@ -283,6 +309,8 @@ def sentences(text: str | None) -> list[tuple[int, int]]:
                 _unit(text, begin, at, out)
             else:
                 _paragraph(text, begin, at, out)
+        elif state == "item" and outer:
+            _item(text, begin, at, len(levels), outer, out)
         elif state:
             _unit(text, begin, at, out)
         state = ""
@@ -310,11 +338,15 @@ def sentences(text: str | None) -> list[tuple[int, int]]:
             _unit(text, s, e, out)
         elif _BULLET.match(line) or _COUNTED.match(line) and (state in ("", "item") or before.endswith((":", "："))):
             close(s)
-            state, begin = "item", s
+            state, begin, outer = "item", s, []
+            depth = _indent(line)
+            levels = [*(x for x in levels if x < depth), depth]
         elif state == "item" or state == "prose":
             lines += 1
+            if state == "item" and _indent(line) <= levels[-1]:
+                outer.append((s, sum(x < _indent(line) for x in levels)))
         else:
-            state, begin, lines = "prose", s, 1
+            state, begin, lines, levels = "prose", s, 1, []
         before = line.rstrip()
     close(len(text))
     return out
