@@ -3,12 +3,14 @@
 Both sides are cut into words; of every window of ``w`` word k-grams the one with
 the least hash is kept. Two texts that share a run of ``w + k - 1`` words share a
 kept k-gram, so joining the kept k-grams finds every such run; each hit is then
-extended, word by word, to the whole shared run. ``k`` and ``w`` follow from the
-shortest run that counts as a leak, so none is missed.
+extended, word by word, to the whole shared run. Items are indexed in classes by
+the run that counts as a leak: ``k`` and ``w`` of a class follow from its shortest
+run, so none is missed, and a few short items don't change how others are looked for.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,11 +20,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomstone.llm.wordgrams import chunks, grams, words
+from loomstone.session import cut
 
 SHORT_ITEM = 8
 """Items with fewer words must occur whole; of longer ones half, and at least so many words."""
-BROADCAST_ITEMS = 200_000
-"""Up to so many test items (under 100 MB of hashes) their fingerprints are sent to all workers; beyond, the fingerprints are joined by a shuffle."""
+BLOCK_BYTES = 32 << 20
+"""Test items are taken in blocks of about so many bytes of text; the corpus is read once for each block, whose fingerprints are sent to all workers."""
+HITS = 2_000_000
+"""Hits extended at once; bounds the worker's memory, not the result."""
 GRAM = 4
 
 
@@ -50,60 +55,83 @@ def winnow(hashes: np.ndarray, valid: np.ndarray, window: int) -> np.ndarray:
     return keep[valid[keep]]
 
 
+@dataclass
+class Prints:
+    """The sorted k-grams of one class of items, and the window that texts are winnowed by for it."""
+
+    gram: int
+    window: int
+    keys: np.ndarray
+    at: np.ndarray
+
+
 @dataclass
 class Items:
-    """The test items as flat arrays, with their sorted fingerprints."""
+    """The test items as flat arrays, with their fingerprints by class."""
 
     ids: list[str]
     hashes: np.ndarray
     starts: np.ndarray
     need: np.ndarray
-    gram: int
-    window: int
-    keys: np.ndarray
-    at: np.ndarray
+    classes: list[Prints]
 
 
-def shape(lengths: np.ndarray) -> tuple[int, int]:
-    """k and w such that every run that counts holds a full window."""
-    least = int(run_needed(lengths[lengths > 0]).min(initial=SHORT_ITEM))
-    gram = max(1, min(GRAM, least))
-    return gram, least - gram + 1
+def shapes(need: np.ndarray) -> list[tuple[np.ndarray, int, int]]:
+    """Classes of items: which they are, k, and the w at which every run that counts holds a full window."""
+    found = []
+    for low, high in [*((n, n) for n in range(1, GRAM)), (GRAM, SHORT_ITEM - 1), (SHORT_ITEM, None)]:
+        own = (need >= low) & (need <= high) if high else need >= low
+        if own.any():
+            gram = min(GRAM, low)
+            found.append((own, gram, int(need[own].min()) - gram + 1))
+    return found
 
 
-def index_items(ids: list[str], texts: list[str | None], gram: int | None = None, window: int | None = None) -> Items:
+def index_items(ids: list[str], texts: list[str | None]) -> Items:
     hashes, text_of = words(texts, folded=True)
     lengths = np.bincount(text_of, minlength=len(texts))
-    if gram is None or window is None:
-        gram, window = shape(lengths)
-    g, valid = grams(hashes, text_of, gram)
-    # All k-grams of the (few) items are kept: joined with winnowed texts this
-    # finds the same runs and also those whose window differs at an item's end.
-    at = np.flatnonzero(valid)
-    order = np.argsort(g[at], kind="stable")
     starts = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
-    return Items(ids, hashes, starts, run_needed(lengths), gram, window, g[at][order], at[order])
+    need = run_needed(lengths)
+    classes = []
+    for own, gram, window in shapes(need):
+        g, valid = grams(hashes, text_of, gram)
+        # All k-grams of the (few) items are kept: joined with winnowed texts this
+        # finds the same runs and also those whose window differs at an item's end.
+        at = np.flatnonzero(valid & own[text_of[: len(valid)]])
+        order = np.argsort(g[at], kind="stable")
+        classes.append(Prints(gram, window, g[at][order], at[order]))
+    return Items(ids, hashes, starts, need, classes)
 
 
 def leaks(texts: list[str | None], items: Items) -> tuple[np.ndarray, np.ndarray]:
     """(text index, item index) of every leak in ``texts``."""
-    none = np.zeros(0, dtype=np.int64)
-    if not len(items.keys):
-        return none, none
-    hashes, text_of = words(texts, folded=True)
-    g, valid = grams(hashes, text_of, items.gram)
-    kept = winnow(g, valid, items.window)
-    low, high = np.searchsorted(items.keys, g[kept], "left"), np.searchsorted(items.keys, g[kept], "right")
-    many = high - low
-    if not many.sum():
-        return none, none
+    found = [np.zeros((2, 0), dtype=np.int64)]
+    if items.classes:
+        hashes, text_of = words(texts, folded=True)
+        hashed: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for own in items.classes:
+            if own.gram not in hashed:
+                hashed[own.gram] = grams(hashes, text_of, own.gram)
+            g, valid = hashed[own.gram]
+            kept = winnow(g, valid, own.window)
+            low, high = np.searchsorted(own.keys, g[kept], "left"), np.searchsorted(own.keys, g[kept], "right")
+            hit = high > low
+            kept, low, many = kept[hit], low[hit], (high - low)[hit]
+            part = np.cumsum(many) // HITS
+            for p in np.unique(part):
+                found.append(_confirmed(hashes, text_of, kept[part == p], low[part == p], many[part == p], own, items))
+    pairs = np.unique(np.concatenate(found, axis=1), axis=1)
+    return pairs[0], pairs[1]
+
+
+def _confirmed(hashes: np.ndarray, text_of: np.ndarray, kept: np.ndarray, low: np.ndarray, many: np.ndarray, own: Prints, items: Items) -> np.ndarray:
+    """Pairs of text and item whose shared run, from each hit to both sides, is long enough."""
     here = np.repeat(kept, many)
-    there = items.at[np.repeat(low - np.cumsum(many) + many, many) + np.arange(many.sum())]
+    there = own.at[np.repeat(low - np.cumsum(many) + many, many) + np.arange(many.sum())]
     item = np.searchsorted(items.starts, there, side="right") - 1
     left, right = _extend(hashes, text_of, here, there, items, item)
-    found = left + right >= items.need[item]
-    pairs = np.unique(np.stack([text_of[here][found], item[found]]), axis=1)
-    return pairs[0], pairs[1]
+    enough = left + right >= items.need[item]
+    return np.unique(np.stack([text_of[here][enough], item[enough]]), axis=1)
 
 
 def _extend(hashes: np.ndarray, text_of: np.ndarray, here: np.ndarray, there: np.ndarray, items: Items, item: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -128,23 +156,34 @@ def _extend(hashes: np.ndarray, text_of: np.ndarray, here: np.ndarray, there: np
 def find_leaks(corpus: DataFrame, tests: DataFrame, key: str = "rec_id", text: str = "text", item_key: str = "id", item_text: str = "prompt") -> DataFrame:
     """Every (document, test item) such that the document holds the item's wording.
 
-    Returns ``key`` and ``prompt_id``. Null and blank texts and items without a
-    word leak nothing; a repeated item id stands for all its wordings; repeated
-    documents are reported under each id; other columns are ignored, whatever
-    their names. An empty side gives no rows. Null ids are kept as null.
+    Returns ``key`` and ``prompt_id``, each pair once. Null and blank texts and
+    items without a word leak nothing; a repeated item id stands for all its
+    wordings; repeated documents are reported under each id; other columns are
+    ignored, whatever their names. An empty side gives no rows. Null ids are kept
+    as null. The items are the query set: however many there are, they are held
+    against all documents block by block, by the same code.
     """
     docs = corpus.select(F.col(key).alias("doc"), F.col(text).alias("text"))
-    items = tests.select(F.col(item_key).cast("string").alias("id"), F.col(item_text).alias("text")).where(F.col("text").isNotNull())
+    items = tests.select(F.col(item_key).cast("string").alias("id"), F.col(item_text).alias("text")).where(F.col("text").isNotNull()).distinct()
     kind = dict(corpus.dtypes)[key]
-    if items.count() <= BROADCAST_ITEMS:
-        found = _by_broadcast(docs, items, kind)
+    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = max(1, math.ceil(size / BLOCK_BYTES))
+    if blocks == 1:
+        found = _search(docs, items, kind)[0]
     else:
-        found = _by_shuffle(docs, items, kind)
-    return found.select(F.col("doc").alias(key), F.col("id").alias("prompt_id"))
-
-
-def _by_broadcast(docs: DataFrame, items: DataFrame, kind: str) -> DataFrame:
-    rows = items.collect()  # at most BROADCAST_ITEMS
+        items = cut(items)
+        found = None
+        for block in range(blocks):
+            own, index = _search(docs, items.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == block), kind)
+            own = cut(own)
+            index.destroy()
+            found = own if found is None else found.unionByName(own)
+    return found.select(F.col("doc").alias(key), F.col("id").alias("prompt_id")).distinct()
+
+
+def _search(docs: DataFrame, items: DataFrame, kind: str):
+    """Leaks of one block of items, and its index as it was sent to the workers."""
+    rows = items.collect()  # about BLOCK_BYTES
     index = docs.sparkSession.sparkContext.broadcast(index_items([r.id for r in rows], [r.text for r in rows]))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,39 +197,4 @@ def _by_broadcast(docs: DataFrame, items: DataFrame, kind: str) -> DataFrame:
                     pairs = list(dict.fromkeys(zip((at + begin).tolist(), names[item].tolist(), strict=True)))
                     yield pa.RecordBatch.from_arrays([doc.take(pa.array([a for a, _ in pairs])), pa.array([i for _, i in pairs], pa.string())], ["doc", "id"])
 
-    return docs.where("text is not null").mapInArrow(search, f"doc {kind}, id string")
-
-
-def _by_shuffle(docs: DataFrame, items: DataFrame, kind: str) -> DataFrame:
-    """For test sets beyond a broadcast: fingerprints of both sides meet in a shuffle join, then the texts of each hit are compared."""
-    items = items.withColumn("item", F.monotonically_increasing_id())
-    shortest = items.select(F.size(F.split(F.trim(F.regexp_replace(F.lower("text"), r"[^\p{L}\p{N}]+", " ")), " ")).alias("n"))
-    least = shortest.agg(F.min("n")).first()[0] or 1
-    gram, window = shape(np.array([max(1, min(least, SHORT_ITEM))]))
-
-    def prints(of: int):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                ids = batch.column(0)
-                for begin, part in chunks(batch.column("text").to_pylist()):
-                    hashes, text_of = words(part, folded=True)
-                    g, valid = grams(hashes, text_of, gram)
-                    kept = winnow(g, valid, of)
-                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(text_of[kept] + begin)), pa.array(g[kept].view(np.int64))], [batch.schema.names[0], "gram"])
-
-        return run
-
-    left = docs.where("text is not null").mapInArrow(prints(window), f"doc {kind}, gram bigint")
-    right = items.select("item", "text").mapInArrow(prints(1), "item bigint, gram bigint")
-    hits = left.join(right.distinct(), "gram").select("doc", "item").distinct()
-    both = hits.join(items.select("item", "id", F.col("text").alias("item_text")), "item").join(docs, "doc")
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = [
-                bool(len(leaks([t], index_items(["x"], [i], gram, window))[0]))
-                for t, i in zip(batch.column("text").to_pylist(), batch.column("item_text").to_pylist(), strict=True)
-            ]
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep)) for c in (batch.column("doc"), batch.column("id"))], ["doc", "id"])
-
-    return both.select("doc", "id", "text", "item_text").mapInArrow(verify, f"doc {kind}, id string").distinct()
+    return docs.where("text is not null").mapInArrow(search, f"doc {kind}, id string"), index

@@ -52,13 +52,39 @@ def test_leaks_ignore_markup_and_accents(spark):
     assert rows(leakage.find_leaks(corpus, tests.limit(0))) == []
 
 
-def test_shuffled_search_finds_the_same(spark, monkeypatch):
+def test_items_in_many_blocks_leak_the_same(spark, monkeypatch):
     corpus, tests = spark.read.parquet(f"{SF}/download_instruct.parquet"), spark.read.parquet(f"{SF}/battery_prompts.parquet")
     near = rows(leakage.find_leaks(corpus, tests))
-    monkeypatch.setattr(leakage, "BROADCAST_ITEMS", 1)
+    monkeypatch.setattr(leakage, "BLOCK_BYTES", 8000)
     assert near and rows(leakage.find_leaks(corpus, tests)) == near
 
 
+@pytest.mark.parametrize("block", [20, 1 << 20])
+def test_words_of_items_are_counted_folded_whatever_the_block(spark, monkeypatch, block):
+    """An entity is no word, a word with accents is one; both decide the run that counts."""
+    monkeypatch.setattr(leakage, "BLOCK_BYTES", block)
+    corpus = spark.createDataFrame([(1, "say hello"), (2, "what is the capital of nowhere"), (3, "what is the capital")], "rec_id long, text string")
+    tests = spark.createDataFrame([("a", "&quot;hello&quot;"), ("b", "what is the ca\u0301pital of <b>nowhere</b>")], "id string, prompt string")
+    assert rows(leakage.find_leaks(corpus, tests)) == [(1, "a"), (2, "b")]
+
+
+def test_a_short_item_leaves_the_windows_of_others_as_they_are():
+    long = [" ".join(f"w{i}_{j}" for j in range(20)) for i in range(3)]
+    index = leakage.index_items(["s", "a", "b", "c"], ["hello", *long])
+    assert [(c.gram, c.window) for c in index.classes] == [(1, 1), (4, 17)]
+    at, item = leakage.leaks(["hello " + long[1], "nothing"], index)
+    assert list(zip(at.tolist(), item.tolist(), strict=True)) == [(0, 0), (0, 2)]
+
+
+def test_hits_taken_in_parts_are_the_same(monkeypatch):
+    texts = [" ".join(["what is the capital of", f"place{i}", "and why is it there"]) for i in range(40)]
+    index = leakage.index_items([str(i) for i in range(40)], texts)
+    want = leakage.leaks(texts, index)
+    monkeypatch.setattr(leakage, "HITS", 7)
+    got = leakage.leaks(texts, index)
+    assert all((a == b).all() for a, b in zip(want, got, strict=True)) and len(want[0]) >= 40
+
+
 # --- components and near duplicates
 
 
