@@ -23,7 +23,7 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
 
 
-def connected_components(edges: DataFrame, left: str, right: str, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, left: str, right: str) -> DataFrame:
     """Columns ``node`` and ``component`` (its least node) for every node of an edge.
 
     Each round runs a large-star and a small-star join and ends once neither
@@ -35,14 +35,12 @@ def connected_components(edges: DataFrame, left: str, right: str, max_rounds: in
     raw = edges.select(F.col(left).alias("u"), F.col(right).alias("v")).where("u is not null and v is not null").distinct()
     current = cut(raw.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     before = _state(current)
-    for _ in range(max_rounds):
+    while before[0]:
         current = cut(_small_star(_large_star(current)))
         state = _state(current)
         if state == before:
             break
         before = state
-    else:
-        raise RuntimeError("components have not settled")
     nodes = raw.select(F.col("u").alias("node")).unionByName(raw.select(F.col("v").alias("node"))).distinct()
     named = current.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return nodes.join(named, "node", "left").select("node", F.coalesce("component", "node").alias("component"))

@@ -6,8 +6,8 @@ fingerprints that differ in fewer than PARTS components must agree in a whole
 block, so records are joined on blocks. At a likeness of 0.6, where more may
 differ, two records still share a block in 96 of 100 cases, at 0.65 in 99, and
 groups hang together by more than one link. Pairs that meet are verified by the
-Hamming distance of 64 further one-bit minima, and what remains exactly, by the
-three-word runs themselves.
+Hamming distance of the fingerprints, of whose first BITS components one bit each
+is kept, and what remains exactly, by the three-word runs themselves.
 """
 
 from __future__ import annotations
@@ -29,15 +29,17 @@ PARTS = 24
 WIDTH = 4
 BITS = 64
 MOST_BITS = 22
-"""Hamming distance up to which a pair is verified exactly; at a likeness of 0.6 it is 12.8 on average, with a deviation of 3.2."""
+"""Hamming distance up to which a pair is verified exactly; at a likeness of 0.6 it is 12.8 on average, with a deviation of 3.2, and less where the block that was shared is among the bits."""
+CELL = 2000
+"""Rows of each side of a task of the second round."""
 ALL_PAIRS = 32
 """Blocks of up to so many records give all their pairs; of larger ones each record is linked to the block's first, and what that leaves apart is compared in a second round."""
 BROADCAST_IDS = 1_000_000
 """Up to so many candidate ids (8 MB) are broadcast to filter the texts; beyond, they are joined by a shuffle."""
 
 _rng = np.random.Generator(np.random.PCG64(20240607))
-_ODD = _rng.integers(1, 1 << 32, PARTS * WIDTH + BITS, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
-_ADD = _rng.integers(0, 1 << 32, PARTS * WIDTH + BITS, dtype=np.uint64).astype(np.uint32)
+_ODD = _rng.integers(1, 1 << 32, PARTS * WIDTH, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
+_ADD = _rng.integers(0, 1 << 32, PARTS * WIDTH, dtype=np.uint64).astype(np.uint32)
 
 
 def shingles(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -67,7 +69,10 @@ def hash_run(hashes: np.ndarray) -> int:
 
 def _fingerprints(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Index of each text with words; its run-set's hash; its block keys; its bits."""
-    g, owner = shingles(texts)
+    return fingerprints_of(*shingles(texts))
+
+
+def fingerprints_of(g: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     at, starts = np.unique(owner, return_index=True)
     if not len(at):
         return at, np.zeros(0, np.uint64), np.zeros((0, PARTS), np.uint64), np.zeros(0, np.uint64)
@@ -84,7 +89,7 @@ def _fingerprints(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.n
         for i in range(part * WIDTH, part * WIDTH + WIDTH):
             total = mix(total * np.uint64(0x9E3779B97F4A7C15) + minima[i])
         keys[:, part] = total
-    one = ((minima[PARTS * WIDTH :].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(63)).astype(np.uint64)
+    one = ((minima[:BITS].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(63)).astype(np.uint64)
     bits = np.zeros(len(at), dtype=np.uint64)
     for i in range(BITS):
         bits |= one[i] << np.uint64(i)
@@ -206,7 +211,8 @@ def near_duplicates(records: DataFrame, key: str = "rec_id", text: str = "text")
     """
     texts = records.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text")).where("id is not null and text is not null")
     prints = texts.mapInArrow(_prints, "id bigint, whole bigint, keys array<bigint>, bits bigint")
-    copies = cut(prints.select("id", "whole"))
+    prints = cut(prints)  # each text is hashed once
+    copies = prints.select("id", "whole")
     one = prints.groupBy("whole", "bits").agg(F.min("id").alias("id"), F.first("keys").alias("keys"))
     blocks = one.select("id", "bits", F.explode("keys").alias("key")).repartitionByRange("key", "id").sortWithinPartitions("key", "id")
     met = cut(blocks.mapInArrow(_meet, "a bigint, b bigint, key bigint, bits bigint").distinct())
@@ -224,8 +230,8 @@ def _second_round(rest: DataFrame, links: DataFrame, texts: DataFrame) -> DataFr
     """Links between records of one block that the first round left in different components.
 
     Members of one component are compared no more. The others are compared with
-    all of the block, chunk by chunk: a row goes to as many tasks as its block
-    has chunks, so that no task holds a whole block.
+    all of the block, cell by cell, so that no task holds a whole block: rows
+    moved and compared grow with the others times the block, not with its square.
     """
     rest = cut(rest.distinct())
     sizes = rest.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -235,11 +241,12 @@ def _second_round(rest: DataFrame, links: DataFrame, texts: DataFrame) -> DataFr
     tagged = cut(rest.join(parts, "id", "left").select("key", "id", "bits", F.coalesce("component", "id").alias("comp")))
     counts = tagged.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("lead"))
     # of each block the largest component is the centre; all others are compared with everything
-    centre = counts.groupBy("key").agg(F.sum("n").alias("all"), F.count(F.lit(1)).alias("comps"), F.max_by("comp", F.struct("n", "comp")).alias("centre")).where("comps > 1")
-    live = tagged.join(centre, "key").withColumn("cells", F.ceil(F.col("all") / 2000).cast("int")).withColumn("cell", F.pmod(F.hash("id"), F.col("cells")))
-    outer = live.where("comp <> centre")
-    left = outer.select("key", "cell", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("other"), "id", "bits", "comp", F.lit(0).alias("side"))
-    right = live.select("key", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("cell"), F.col("cell").alias("other"), "id", "bits", "comp", F.lit(1).alias("side"))
+    centre = counts.groupBy("key").agg(F.sum("n").alias("all"), F.count(F.lit(1)).alias("comps"), F.max_by("comp", F.struct("n", "comp")).alias("centre"), F.max("n").alias("held")).where("comps > 1")
+    live = tagged.join(centre, "key").withColumn("cells", F.ceil(F.col("all") / CELL).cast("int")).withColumn("groups", F.ceil((F.col("all") - F.col("held")) / CELL).cast("int"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    # as many copies of the others as the block has cells, and of the block as the others have groups: one, unless they are many
+    left = live.where("comp <> centre").select("key", F.pmod(F.hash("id"), F.col("groups")).alias("cell"), every("cells").alias("other"), "id", "bits", "comp", F.lit(0).alias("side"))
+    right = live.select("key", every("groups").alias("cell"), F.pmod(F.hash("id"), F.col("cells")).alias("other"), "id", "bits", "comp", F.lit(1).alias("side"))
     tasks = left.unionByName(right)
 
     def compare(keyed: tuple, table: pa.Table) -> pa.Table:
