@@ -1,11 +1,12 @@
 """Conversations rebuilt from message rows, and only those that are whole.
 
-The rows of a conversation are those whose identifiers hang together: spellings of
-a chat id, and, where a table of reply or quote links is given, rows without an id
-that refer to others. They are found as connected components by alternating
-large-star and small-star joins; then turns are ordered and each conversation is
-validated. No step gathers a conversation in one task: ranks are sums of counts
-per hour plus a rank within the hour, and verdicts are partial aggregates.
+Rows that lack a usable identifier are joined to their conversation as connected
+components by alternating large-star and small-star joins: rows with an odd
+spelling of a chat id through that spelling, and rows without any id through
+reply and quote links, where a table of links is given. Rows with a clean id need
+no join. Then turns are ordered and each conversation is validated. No step
+gathers a conversation in one task: turns are found and ranked hour by hour, and
+verdicts are partial aggregates.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ ROLES = {
 }
 FAILURE = "error|fail|abort|stopp|empty|no ?(?:output|reply|response|answer|content|text|tokens?)|time[d -]?out|cancel|interrupt|exceed|unavailable|missing|blank|null|undefined|nothing"
 REPEAT_SECONDS = 5
+_GAP, _HOUR = REPEAT_SECONDS * 1_000_000, 3_600_000_000
 
 _OUTER = r"(?U)^[\s\p{Cf}]+|[\s\p{Cf}]+$"
 _NOTE = rf"(?i)^(?:[\[<({{*_]+[^\]>)}}]{{0,100}}(?:{FAILURE})[^\]>)}}]{{0,100}}[\]>)}}*_]+\.?|(?:error|exception|failed|failure|fatal)\s*[:(\-](?:\s*[^\s.,;!?]+){{0,8}}?\s*(?:{FAILURE})(?:\s*[^\s.,;!?]+){{0,5}}|(?:generation|request|reply|response) (?:failed|aborted|timed out|stopped)(?:\s*[^\s.,;!?]+){{0,5}})$"
@@ -59,6 +61,21 @@ def _key(chat: Column) -> Column:
     return F.lower(trimmed(chat))
 
 
+def _node(spelling: Column) -> Column:
+    """The node of a clean id (c, which sorts first), or of an odd spelling (s)."""
+    return F.when(spelling == _key(spelling), F.concat(F.lit("c"), spelling)).otherwise(F.concat(F.lit("s"), spelling))
+
+
+def _placed(rows: DataFrame, found: DataFrame, linked: bool) -> DataFrame:
+    """Rows with the conversation of their node. Only links can bring clean ids together; without them those are left as they are."""
+    known = rows.where("node is not null")
+    if linked:
+        return known.join(found, "node", "left").withColumn("conv", F.coalesce("conv", F.when(~F.col("node").startswith("m"), F.col("node")))).where("conv is not null").drop("node")
+    clean = known.where(F.col("node").startswith("c")).withColumn("conv", F.col("node"))
+    other = known.where(F.col("node").startswith("s")).join(found, "node")
+    return clean.unionByName(other.select(clean.columns)).drop("node")
+
+
 def rebuild(messages: DataFrame, chats: DataFrame, links: DataFrame | None = None) -> DataFrame:
     """``chat_id`` (as spelt in ``chats``), ``turn_no`` from 1, ``message_id``, ``role`` and ``content`` of the turns of each whole conversation.
 
@@ -79,23 +96,19 @@ def rebuild(messages: DataFrame, chats: DataFrame, links: DataFrame | None = Non
         clean_role(F.col("role")).alias("role"),
         micros(F.col("created_at").cast("double")).alias("t"),
         failed(F.col("content")).alias("failed"),
-        F.col("content"),
-    )
-    named = chats.where("id is not null").select(F.col("id").cast("string").alias("spelling")).distinct()
-    spellings = rows.where("spelling is not null").select("spelling").distinct()
-    edges = spellings.unionByName(named).select(F.concat(F.lit("s"), "spelling").alias("a"), F.concat(F.lit("c"), _key(F.col("spelling"))).alias("b"))
+        F.xxhash64(trimmed(F.col("content"))).alias("h"),
+        F.length(trimmed(F.col("content"))).alias("m"),
+    ).withColumn("node", _node(F.col("spelling")))
+    named = chats.where("id is not null").select(F.col("id").cast("string").alias("spelling")).distinct().withColumn("node", _node(F.col("spelling")))
+    odd = messages.select(F.col("chat_id").cast("string").alias("spelling")).distinct().unionByName(named.select("spelling")).where(_node(F.col("spelling")).startswith("s"))
+    edges = odd.select(_node(F.col("spelling")).alias("a"), F.concat(F.lit("c"), _key(F.col("spelling"))).alias("b"))
     if links is not None:
         edges = edges.unionByName(_link_edges(rows, links))
-    # each round joins only distinct spellings, so the size of a chat doesn't matter here
-    found = connected_components(edges.where("a is not null and b is not null"), "a", "b")
+        rows = rows.withColumn("node", F.coalesce("node", F.concat(F.lit("m"), F.col("message_id").cast("string"))))
+    found = connected_components(edges, "a", "b")
     found = cut(found.select("node", F.col("component").alias("conv")))
-    chat_of = found.join(named.select(F.concat(F.lit("s"), "spelling").alias("node"), "spelling"), "node").groupBy("conv").agg(F.min("spelling").alias("chat_id"))
-    node = F.concat(F.lit("s"), "spelling")
-    if links is not None:
-        node = F.coalesce(node, F.concat(F.lit("m"), F.col("message_id").cast("string")))
-    tagged = rows.withColumn("node", node).where("node is not null").join(found, "node")
-    slim = tagged.select("conv", "message_id", "role", "t", "failed", F.xxhash64(trimmed(F.col("content"))).alias("h"), F.length("content").alias("n"), F.length(trimmed(F.col("content"))).alias("m"))
-    slim = cut(slim.drop("n"))
+    chat_of = _placed(named, found, links is not None).groupBy("conv").agg(F.min("spelling").alias("chat_id"))
+    slim = cut(_placed(rows, found, links is not None).select("conv", "message_id", "role", "t", "failed", "h", "m"))
     bad = F.col("failed") | F.col("role").isNull() | F.col("t").isNull()
     sound = (
         slim.groupBy("conv")
@@ -103,8 +116,10 @@ def rebuild(messages: DataFrame, chats: DataFrame, links: DataFrame | None = Non
         .where("not bad and users > 0 and assistants > 0")
         .select("conv")
     )
-    turns = _turns(slim.join(sound.join(chat_of, "conv"), "conv"))
-    ranked = cut(_ranked(turns))
+    timed = slim.drop("failed").withColumn("hour", F.floor(F.col("t") / _HOUR)).join(sound.join(chat_of, "conv"), "conv")
+    # by chat and hour, so that no later step puts a chat into one task
+    turns = _turns(timed.repartition("conv", "hour"))
+    ranked = cut(_ranked(turns.repartition("conv", "hour")))
     whole = (
         ranked.groupBy("conv")
         .agg(
@@ -128,27 +143,37 @@ def with_content(turns: DataFrame, messages: DataFrame) -> DataFrame:
 
 
 def _link_edges(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """Edges of rows without an id: to the rows they refer to, and to those that refer to them."""
     link = links.select(F.col("message_id").cast("bigint").alias("message_id"), F.col("refers_to").cast("bigint").alias("target")).where("message_id is not null and target is not null")
     loose = rows.where("spelling is null").select("message_id")
-    homes = rows.where("spelling is not null").select(F.col("message_id").alias("target"), F.concat(F.lit("s"), "spelling").alias("home"))
+    homes = rows.where("spelling is not null").select(F.col("message_id").alias("target"), F.col("node").alias("home"))
     own = link.join(loose, "message_id").join(homes, "target", "left")
     forward = own.select(F.concat(F.lit("m"), F.col("message_id").cast("string")).alias("a"), F.coalesce("home", F.concat(F.lit("m"), F.col("target").cast("string"))).alias("b"))
     back = link.join(loose.withColumnRenamed("message_id", "target"), "target").join(homes.withColumnRenamed("target", "message_id"), "message_id")
     return forward.unionByName(back.select(F.concat(F.lit("m"), F.col("target").cast("string")).alias("a"), F.col("home").alias("b")))
 
 
+def _islands(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of a key that follow one another within REPEAT_SECONDS, as one: least id, first and last time."""
+    near = Window.partitionBy(*keys).orderBy("t")
+    starts = rows.withColumn("new", F.coalesce((F.col("t") - F.lag("until").over(near) > _GAP).cast("int"), F.lit(1)))
+    numbered = starts.withColumn("island", F.sum("new").over(near.rowsBetween(Window.unboundedPreceding, 0)))
+    return numbered.groupBy(*keys, "island").agg(F.min("message_id").alias("message_id"), F.min("t").alias("t"), F.max("until").alias("until")).drop("island")
+
+
 def _turns(rows: DataFrame) -> DataFrame:
-    """One row for each turn; equal rows are brought together before they are ordered, so the window's key is as fine as the content."""
-    equal = rows.groupBy("conv", "chat_id", "role", "h", "m", "t").agg(F.min("message_id").alias("message_id"))
-    same = Window.partitionBy("conv", "role", "h", "m").orderBy("t")
-    starts = equal.withColumn("new", F.coalesce((F.col("t") - F.lag("t").over(same) > REPEAT_SECONDS * 1_000_000).cast("int"), F.lit(1)))
-    numbered = starts.withColumn("turn", F.sum("new").over(same.rowsBetween(Window.unboundedPreceding, 0)))
-    return numbered.groupBy("conv", "chat_id", "role", "h", "m", "turn").agg(F.min("message_id").alias("message_id"), F.min("t").alias("t"))
+    """One row for each turn. Repeats are joined within an hour; only what touches the hour's edge is then joined across hours."""
+    keys = ["conv", "chat_id", "role", "h", "m"]
+    equal = rows.groupBy(*keys, "hour", "t").agg(F.min("message_id").alias("message_id")).withColumn("until", F.col("t"))
+    within = _islands(equal, [*keys, "hour"])
+    edge = (F.col("t") - F.col("hour") * _HOUR <= _GAP) | ((F.col("hour") + 1) * _HOUR - F.col("until") <= _GAP)
+    columns = [*keys, "message_id", "t"]
+    joined = _islands(within.where(edge), keys)
+    return within.where(~edge).select(columns).unionByName(joined.select(columns)).withColumn("hour", F.floor(F.col("t") / _HOUR))
 
 
 def _ranked(turns: DataFrame) -> DataFrame:
     """Place of each turn in its conversation: turns of earlier hours plus place within the hour."""
-    turns = turns.withColumn("hour", F.floor(F.col("t") / 3_600_000_000))
     per_hour = turns.groupBy("conv", "hour").agg(F.count(F.lit(1)).alias("own"))
     earlier = Window.partitionBy("conv").orderBy("hour").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_hour.select("conv", "hour", F.coalesce(F.sum("own").over(earlier), F.lit(0)).alias("before"))

@@ -94,6 +94,7 @@ _P2 = f"""with m as (select id, lower({_trim("chat_id")}) as k, lower(regexp_rep
  q as (select *, first_value(who) over (partition by k order by place) = 'system' as sys from p),
  good as (select k from q group by k having bool_and((place = 1 and who = 'system') or who = case when (place - sys::int) % 2 = 1 then 'user' else 'assistant' end) and bool_and((size - sys::int) % 2 = 0 and size - sys::int >= 2))
  select h.chat_id, q.place::int as turn_no, q.id as message_id from q semi join good using (k) join h using (k)"""
+_P2_TURNS = _P2.replace("q.id as message_id from q", f"q.id as message_id, q.who as role, {_trim('x.content')} as content from q") + " join messages x on x.id = q.id"
 _P5 = """with recursive w as (select rec_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') as w from download_instruct where text is not null),
  s as (select distinct rec_id, unnest(case when len(w) >= 3 then [w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] for i in range(1, len(w) - 1)] when len(w) > 0 then [array_to_string(w, ' ')] else []::varchar[] end) as g from w),
  n as (select rec_id, count(*) as n from s group by 1),
@@ -102,5 +103,5 @@ _P5 = """with recursive w as (select rec_id, regexp_extract_all(lower(text), '[\
  e as (select a, b from l union select b, a from l),
  r(a, b) as (select a, b from e union select r.a, e.b from r join e on r.b = e.a)
  select least(a, min(b)) as group_id, a as rec_id from r group by a"""
-ORACLES: dict[str, str] = {"p2_found": _P2, "p5_found": _P5}
+ORACLES: dict[str, str] = {"p2_found": _P2, "p2_turns": _P2_TURNS, "p5_found": _P5}
 """SQL for what it can express; the others are tested against brute force or fixtures."""
