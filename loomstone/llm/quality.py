@@ -1,321 +1,155 @@
-"""Text statistics for each document, and a class that tells prose from lists, tables and junk.
-
-Statistics follow published rules for web corpora (word count, mean word length,
-symbols per word, bulleted and ellipsis lines, words with a letter, stop words,
-lines ending in punctuation, repeated lines and phrases). Every rule that fails
-leaves its name; the class follows from fixed thresholds over the same numbers.
+"""Text statistics for each document, fixed-threshold rules, and a class that tells prose from lists, tables and junk.
+
+Statistics are array operations over a batch of texts (``textstats``). Two sets of
+rules with fixed thresholds are applied to them: the published rules for web
+corpora (word count, mean word length, symbols per word, bulleted and ellipsis
+lines, words with a letter, common words, lines ending in punctuation, repeated
+lines and phrases), and rules for the layout or content that makes a text a table,
+a list or junk. Every rule that fails leaves its name; the class is that of the
+first rule in the list that has one and fails.
 """
 
 from __future__ import annotations
 
-import re
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Common words by language, navigation words, published thresholds.
-COMMON = {
-    "en": "the a an of to and in is was were for that it its on at by with from as be are but or who why what how when where than then there they we he she i you if so no not which about before because after over under between each every only some most few many had has have will would can into one out up this these those his her their our all more do does did been being",
-    "de": "der die das und ist wird wurde hat für von zu mit den dem des ein eine einen einer im in am an auf nicht als auch es er sie wir ich bleibt aber denn warum bei nach noch sich dass so wie oder um aus seit trotz mehr",
-    "fr": "le la les de des du et est un une que qui pour dans par sur avec au aux en il elle ne pas plus se son sa ses ce cette car mais pourquoi dit a selon chaque",
-    "es": "el la los las de del y en es un una que por para con se lo al su sus no más como pero porque ya sin desde entre cada qué dijo dice está sobre",
-    "ru": "и в на не что как за из по с для от к у о он она но или это так же мы вы бы потому чем если г до при без его её",
-}
-MENU = "home login logout search menu share next previous top more print cart terms archive subscribe comments tags about contact help sitemap register account shop news blog faq privacy policy cookies accept back forward close open follow like reply sign up in submit download upload settings profile language rss feed categories links skip navigation toggle sidebar footer header checkout wishlist read all view post page"
-RULES = {"words": (50, 100_000), "word_length": (3.0, 10.0), "symbols": 0.1, "bullets": 0.9, "ellipses": 0.3, "lettered": 0.8, "common": 2, "endings": 0.12, "repeated": 0.3}
-
-_COMMON = {word: None for words in COMMON.values() for word in words.split()}
-_MENU = frozenset(MENU.split())
-_HARD = frozenset(
-    "the a an of in to and is was were for by with from as are but or at on der die das den dem des und ist ein eine im le la les de des du et un une el los las y en por para con и в на не из для".split()
-)
-_DETERMINERS = frozenset("the a an le les un une du des el los las una der das den dem ein eine".split())
-_WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
-_MARKER = re.compile(r"\s*(?:[-*+•·▪◦‣●○■□➤►✓✔–—>]+|\[[ xX✓]?\]|\(?\d{1,3}[.):]|\(?[a-zA-Z][.)]|\(?[ivxIVX]{1,5}[.)]|#\d+|(?:step|item|no\.?|nr\.?)\s*\d+[.:)]?)\s+(?=\S)", re.I)
-_END = re.compile(r"[.!?…。！？｡।॥؟۔][\"'”’»)\]」』\d\[]*\s*$")
-_INNER_END = re.compile(r"[.!?…][\"'”’»)\]]*\s+[^\Wa-z_]|[。！？।؟۔]")
-_LEADER = re.compile(r"(?:\.\s?){4,}\s*\d+\s*$|\s{3,}\d{1,4}\s*$|…{2,}\s*\d+\s*$|_{4,}\s*\d+\s*$")
-_LOG = re.compile(r"^\s*\[?(?:\d{4}[-/]\d\d[-/]\d\d|\d\d:\d\d:\d\d|\d\d/\w{3}/\d{4})|\b(?:INFO|WARN|WARNING|ERROR|DEBUG|TRACE|FATAL)\b[\s:\]]")
-_PAIR = re.compile(r"[\w.-]+\s?[=:]\s?[-\w.%+]+")
-_TAG = re.compile(r"<[^<>\n]{1,300}>")
-_CELL = re.compile(r"</?(?:table|tr|td|th|tbody|thead)\b", re.I)
-_CASELESS = re.compile(r"[぀-ヿ一-鿿㐀-䶿฀-๿]")
-_OWN_SCRIPT = re.compile(r"[Ѐ-ӿ֐-ۿऀ-෿฀-๿぀-ヿ一-鿿가-힯]")
-_NUMBER = re.compile(r"^[-+$€£(]?\d[\d.,:%/e+-]*[)%]?$")
-_NUMBERS = re.compile(r"(?<!\S)[-+$€£(]?\d[\d.,:%/e+-]*[)%]?[,;|]?(?!\S)")
-_LETTERED = re.compile(r"\S*?[^\W\d_]\S*")
-_NO_LETTER = re.compile(r"[^\w\u0900-\u0e7f]+|[\d_]+")
-_PUNCTUATION = re.compile(r"[^\w\s]+|_+")
-_HEX = re.compile(r"(?:0x|\\x|%)?[0-9a-fA-F]{2,8}")
-_HEX_LETTER = re.compile(r"[a-fA-F]")
-_CONSONANTS = re.compile(r"[bcdfghjklmnpqrstvwxz]{4,}")
-_VOWEL = re.compile(r"[aeiouyàáâäæèéêëìíîïòóôöùúûüœ]")
-_SEPARATORS = re.compile(r"\s*(?:[»›·•|>/→]|::|\s-\s)\s*")
-_ODD = re.compile("[\u0080-\u00bf\u00d0\u00d1\u0152\u0153\u0160\u0161\u0178\u017d\u017e\u0192\u02c6\u02dc\u2018-\u2026\u2030\u2039\u203a\u20ac\u2122\ufffdÂÃâï]")
-_FIELDS = re.compile(r"\t+| {2,}")
-
-
-def measure(text: str) -> dict[str, float]:
-    """The published statistics of one text."""
-    lines = [x for x in text.splitlines() if x.strip()]
-    tokens = text.split()
-    words = _WORD.findall(text.lower())
-    n, many = max(1, len(tokens)), max(1, len(lines))
-    wide = len(_CASELESS.findall(text))
-    common = [w for w in words if w in _COMMON]
-    bare = [w.strip(".,;:!?()[]\"'«»“”") for w in tokens]
-    phrases = Counter(zip(words, words[1:], words[2:], strict=False))
-    return {
-        "n_chars": len(text),
-        "n_words": len(tokens) + wide // 2,
-        "n_lines": len(lines),
-        "word_length": sum(map(len, bare)) / n,
-        "symbol_ratio": (text.count("#") + text.count("...") + text.count("…")) / n,
-        "letter_share": (len(text) - sum(map(len, _NO_LETTER.findall(text)))) / max(1, len(text)),
-        "punctuation_ratio": sum(map(len, _PUNCTUATION.findall(text))) / max(1, len(text)),
-        "bullet_share": sum(bool(_MARKER.match(x)) for x in lines) / many,
-        "ellipsis_share": sum(x.rstrip().endswith(("...", "…")) for x in lines) / many,
-        "ending_share": sum(bool(_END.search(x)) for x in lines) / many,
-        "lettered_share": len(_LETTERED.findall(text)) / n,
-        "number_share": len(_NUMBERS.findall(text)) / n,
-        "common_share": len(common) / max(1, len(words)),
-        "common_kinds": len(set(common)),
-        "repeated_lines": 1 - len({x.strip() for x in lines}) / many,
-        "top_phrase": max(phrases.values(), default=0) * 3 / max(1, len(words)) if len(words) >= 12 else 0.0,
-        "wide_share": wide / max(1, len(text)),
-    }
-
-
-def failures(m: dict[str, float]) -> list[str]:
-    """Names of the published rules that fail."""
-    native = m["wide_share"] > 0.2
-    low, high = RULES["words"]
-    checks = [
-        ("words", not low <= m["n_words"] <= high),
-        ("word_length", not native and not RULES["word_length"][0] <= m["word_length"] <= RULES["word_length"][1]),
-        ("symbols", m["symbol_ratio"] > RULES["symbols"]),
-        ("bullets", m["bullet_share"] > RULES["bullets"]),
-        ("ellipses", m["ellipsis_share"] > RULES["ellipses"]),
-        ("lettered", m["lettered_share"] < RULES["lettered"]),
-        ("common", not native and m["common_kinds"] < RULES["common"]),
-        ("endings", m["ending_share"] < RULES["endings"]),
-        ("repeated", m["repeated_lines"] > RULES["repeated"] or m["top_phrase"] > RULES["repeated"]),
-    ]
-    return [name for name, failed in checks if failed]
-
-
-def _sentence_like(line: str) -> bool:
-    """A line that reads as a sentence or as part of one."""
-    words = _WORD.findall(line.lower())
-    if _CASELESS.search(line):
-        return bool(_INNER_END.search(line)) or len(_CASELESS.findall(line)) > 40
-    if len(words) < 4:
-        return False
-    common = sum(w in _COMMON for w in words) / len(words)
-    native = bool(_OWN_SCRIPT.search(line)) and common < 0.1
-    return bool(_END.search(line)) and (common >= 0.2 or native or len(words) >= 7) and len(words) >= 5 or len(words) >= 9 and (common >= 0.25 or native)
-
-
-def _table_line(line: str) -> bool:
-    if line.count("|") >= 2 or _CELL.search(line):
-        return True
-    tokens = line.split()
-    if not tokens:
-        return False
-    if _LOG.search(line):
-        return True
-    numbers = sum(bool(_NUMBER.match(t.strip("|;,"))) for t in tokens)
-    if len(tokens) >= 3 and numbers / len(tokens) >= 0.45:
-        return True
-    pairs = _PAIR.findall(line)
-    if len(pairs) >= 2 and sum(map(len, pairs)) >= 0.6 * len(line.replace(" ", "")):
-        return True
-    fields = [x for x in _FIELDS.split(line.strip()) if x.strip()]
-    if len(fields) >= 3 and sum(len(x.split()) for x in fields) / len(fields) <= 3.5:
-        return True
-    for mark in (";", ","):
-        cells = line.split(mark)
-        if len(cells) >= 3 and (numbered := sum(bool(_NUMBER.match(x.strip())) for x in cells)) and numbered >= 0.34 * len(cells) and max(len(x.split()) for x in cells) <= 4:
-            return True
-    return False
-
-
-def _delimited(lines: list[str]) -> bool:
-    """Lines with the same number, at least two, of one delimiter and short cells."""
-    if len(lines) < 3:
-        return False
-    for mark in (";", ",", "\t", "|", ":", "/"):
-        counts = Counter(x.count(mark) for x in lines)
-        count, many = counts.most_common(1)[0]
-        if count >= 2 and many >= 0.8 * len(lines):
-            cells = [c for x in lines for c in x.split(mark)]
-            if sum(len(c.split()) for c in cells) / len(cells) <= 3 and not any(_END.search(x) for x in lines[:3]):
-                return True
-    return False
-
-
-def _junk(text: str, lines: list[str], words: list[str], m: dict[str, float]) -> str | None:
-    """Why the text has no readable content, if it has none."""
-    solid = "".join(text.split())
-    letters = m["letter_share"] * len(text)
-    tokens = text.split()
-    if _CELL.search(text) and text.count("<td") + text.count("<th") >= 4:
-        return None
-    if len(_ODD.findall(solid)) > 0.25 * len(solid):
-        return "garbled"
-    if not words or letters < 0.15 * len(solid):
-        separated = len(tokens) >= 6 and sum(bool(_NUMBER.match(t.strip("|;,"))) for t in tokens) > 0.6 * len(tokens)
-        table = separated and len(lines) >= 3 or _delimited(lines)
-        return None if table else "symbols"
-    if len(tokens) >= 8 and m["word_length"] <= 10:
-        pairs = sum(bool(_HEX.fullmatch(t)) and (not t.isalpha() or len(t) == 2) for t in tokens)
-        if pairs > 0.85 * len(tokens) and len(_HEX_LETTER.findall(text)) > 0.2 * len(tokens):
-            return "encoded"
-    if not m["wide_share"] and len(solid) >= 40 and m["word_length"] > 20 and not re.search(r"https?://", text):
-        return "encoded" if not re.search(r"[{};]", text) else "markup"
-    bare = _TAG.sub("", text)
-    if "<" in text and len("".join(bare.split())) < 0.35 * len(solid):
-        return "markup"
-    if "{" in text and sum(solid.count(c) for c in "{}();=&|!$<>[]\\") > 0.12 * len(solid):
-        return "markup"
-    if len(tokens) >= 12 and m["wide_share"] < 0.2:
-        lowered = [t.lower() for t in tokens]
-        repeated = Counter(zip(lowered, lowered[1:], strict=False))
-        if len(set(lowered)) < 0.2 * len(tokens) or sum(v - 1 for v in repeated.values()) > 0.75 * len(tokens):
-            return "repetition"
-    if len(lines) >= 5 and m["repeated_lines"] > 0.6:
-        return "repetition"
-    if m["wide_share"] > 0.2 and len(solid) >= 60:
-        chunks = Counter(solid[i : i + 6] for i in range(len(solid) - 5))
-        if len(chunks) < 0.2 * len(solid):
-            return "repetition"
-    if len(words) >= 4 and sum(w in _MENU for w in words) > 0.6 * len(words):
-        return "menu"
-    cells = [x for line in lines for x in _SEPARATORS.split(line) if x.strip()]
-    if len(cells) >= 6 and len(lines) <= 3 and sum(len(x.split()) <= 3 for x in cells) > 0.9 * len(cells) and len(_SEPARATORS.findall(text)) >= 5 and m["number_share"] < 0.2 and not m["bullet_share"] == 1:
-        if sum(any(w in _MENU for w in _WORD.findall(x.lower())) for x in cells) > 0.25 * len(cells):
-            return "menu"
-    latin = [w for w in words if w.isascii() and len(w) > 2]
-    if len(latin) >= 5 and len(latin) > 0.6 * len(words):
-        odd = sum(bool(_CONSONANTS.search(w)) or not _VOWEL.search(w) for w in latin)
-        if odd > 0.3 * len(latin) and m["common_share"] < 0.15:
-            return "mashed"
-    return None
-
-
-def _shuffled(text: str, words: list[str], m: dict[str, float]) -> str | None:
-    """Words of prose in no order: hardly a common word between them, or articles before words that can't follow one."""
-    if len(words) < 12 or m["wide_share"] > 0.1 or _OWN_SCRIPT.search(text):
-        return None
-    flat = [t.lower() for t in re.findall(r"[^\W\d_]+|\d[\d.,]*\d|\d|[.,;:!?]", text)]
-    articles = [(a, b) for a, b in zip(flat, flat[1:], strict=False) if a in _DETERMINERS]
-    if len(articles) >= 3 and sum(b in _HARD or b in ".,;:!?" for _, b in articles) >= 0.3 * len(articles):
-        return "shuffled"
-    longest = max(len(x.split()) for x in text.splitlines())
-    if m["common_share"] < 0.24 and len(articles) < 0.01 * len(words) and m["n_words"] >= 20 and longest >= 8:
-        return "shuffled"
-    return None
-
-
-def classify(text: str | None) -> tuple[str | None, str | None, dict[str, float] | None]:
-    """Class (list, table, junk, prose; None for null and blank texts), the reason, and the statistics."""
-    if text is None or not text.strip() or not re.search(r"[^\s\u200b-\u200f\u2060\ufeff]", text):
-        return None, None, None
-    m = measure(text)
-    lines = [x.rstrip("\r") for x in text.splitlines() if x.strip()]
-    words = _WORD.findall(text.lower())
-    # an introductory sentence counts for neither side
-    body = lines[1:] if len(lines) > 2 and not _MARKER.match(lines[0]) and not _table_line(lines[0]) and len(_INNER_END.findall(lines[0])) <= 1 and _sentence_like(lines[0]) else lines
-    total = sum(len(x.strip()) for x in body)
-    tables = sum(len(x.strip()) for x in body if _table_line(x))
-    readable = m["letter_share"] > 0.02
-    rows = tables > 0.5 * total and (len(body) >= 2 or _CELL.search(text))
-    if rows and (readable or len(text.split()) >= 3 * len(body)):
-        return "table", "rows", m
-    junk = _junk(text, lines, words, m)
-    if junk:
-        return "junk", junk, m
-    if _delimited(body):
-        return "table", "delimited", m
-    inside = "\n".join(body)
-    if len(re.findall(r"<t[dh]\b", inside)) >= 4:
-        return "table", "markup", m
-    leaders = sum(bool(_LEADER.search(x)) for x in body)
-    if leaders >= 3 and leaders > 0.5 * len(body):
-        return "list", "contents", m
-    marked = [x for x in body if _MARKER.match(x)]
-    short = [x for x in marked if not (_sentence_like(_MARKER.sub("", x, count=1)) and len(x.split()) >= 9)]
-    if len(marked) >= 2 and sum(len(x) for x in short) > 0.5 * sum(len(x) for x in body):
-        return "list", "markers", m
-    if _unmarked(body, m):
-        return "list", "lines", m
-    if _enumerated(body, m):
-        return "list", "enumeration", m
-    if _shuffled(text, words, m):
-        return "junk", "shuffled", m
-    return "prose", None, m
-
-
-def _unmarked(lines: list[str], m: dict[str, float]) -> bool:
-    """Short lines that are no sentences and don't run on into each other."""
-    if len(lines) < 4:
-        return False
-    if _CASELESS.search("".join(lines)):
-        short = sum(len(x.strip()) <= 30 and not _END.search(x) for x in lines)
-        return short >= 0.8 * len(lines)
-    counts = [len(x.split()) for x in lines]
-    runs_on = sum(x.strip()[:1].islower() for x in lines[1:])
-    ends = sum(bool(_END.search(x)) for x in lines)
-    inner = sum(bool(_INNER_END.search(x)) for x in lines)
-    small = sum(c <= 7 for c in counts)
-    if small < 0.8 * len(lines) or inner > 0.1 * len(lines):
-        return False
-    common = m["common_share"]
-    if ends <= 0.15 * len(lines):
-        return True if common < 0.3 or runs_on < 0.2 * len(lines) else False
-    return ends >= 0.8 * len(lines) and common < 0.25 and sum(counts) / len(counts) <= 5
-
-
-def _enumerated(lines: list[str], m: dict[str, float]) -> bool:
-    """Running lines that only enumerate."""
-    text = " ".join(lines)
-    parts = [x.strip() for x in re.split(r"[,;、，；،·•/|]|\s(?:and|und|et|y|и)\s|\(\d+\)|\d\)", text) if x.strip()]
-    if len(parts) < 6:
-        return False
-    stops = len(_INNER_END.findall(text))
-    if stops * 6 > len(parts):
-        return False
-    if _CASELESS.search(text):
-        return sum(len(x) <= 14 for x in parts) >= 0.85 * len(parts)
-    return sum(len(x.split()) <= 6 for x in parts) >= 0.85 * len(parts) and sum(len(x.split()) for x in parts) / len(parts) <= 4.5
+from loomstone.llm import textstats
+from loomstone.llm.wordgrams import chunks
+
+PAGE_CHARS = 1 << 17
+"""Characters handled at once; bounds the worker's memory, not the result."""
+# Thresholds of the published rules.
+PUBLISHED = {"words": (50, 100_000), "word_length": (3.0, 10.0), "symbols": 0.1, "bullets": 0.9, "ellipses": 0.3, "lettered": 0.8, "common": 2, "endings": 0.12, "repeated": 0.3}
+
+Stats = dict[str, np.ndarray]
+
+
+def _native(m: Stats) -> np.ndarray:
+    return m["wide_share"] > 0.2
+
+
+def _bare(m: Stats) -> np.ndarray:
+    """Hardly a letter in it."""
+    return (m["words"] == 0) | (m["letter_solid_share"] < 0.15)
+
 
+def _figures(m: Stats) -> np.ndarray:
+    """Figures in lines, or cells between delimiters."""
+    return (m["tokens"] >= 6) & (m["numeric_share"] > 0.6) & (m["n_lines"] >= 3) | (m["all_delimited"] > 0)
 
-STATISTICS = list(measure("x"))
-SCHEMA = "text_class string, reason string, failed array<string>, " + ", ".join(f"{name} double" for name in STATISTICS)
 
+def _readable(m: Stats) -> np.ndarray:
+    """Letters, and not the mark-up of a table."""
+    return ~_bare(m) & ~_markup_table(m)
 
-def assess(texts: DataFrame, key: str = "text_id", text: str = "text") -> DataFrame:
-    """``key``, ``text_class``, ``reason``, ``failed`` rules and the statistics of each text.
+
+def _markup_table(m: Stats) -> np.ndarray:
+    return (m["cell_lines"] > 0) & (m["all_cell_tags"] >= 4)
+
+
+def _dense(m: Stats) -> np.ndarray:
+    """One long run of characters after another."""
+    return _readable(m) & (m["wide_share"] == 0) & (m["solid_chars"] >= 40) & (m["word_length"] > 20) & (m["links"] == 0)
+
+
+def _unmarked_lines(m: Stats) -> np.ndarray:
+    """Short lines that are no sentences and don't run on into each other."""
+    loose = (m["body_ending_share"] <= 0.15) & ((m["common_share"] < 0.3) | (m["runs_on_share"] < 0.2))
+    closed = (m["body_ending_share"] >= 0.8) & (m["common_share"] < 0.25) & (m["tokens_per_line"] <= 5)
+    spaced = (m["short_share"] >= 0.8) & (m["body_inner_share"] <= 0.1) & (loose | closed)
+    return (m["body_lines"] >= 4) & np.where(m["body_wide"] > 0, m["short_wide_share"] >= 0.8, spaced)
+
+
+def _enumerated(m: Stats) -> np.ndarray:
+    """Running lines that only enumerate."""
+    small = np.where(m["body_wide"] > 0, m["small_wide_part_share"] >= 0.85, (m["small_part_share"] >= 0.85) & (m["part_tokens"] <= 4.5))
+    return (m["parts"] >= 6) & (m["part_stops"] * 6 <= 1) & small
+
+
+def _shuffled(m: Stats) -> np.ndarray:
+    """Words of prose in no order: articles before words that can't follow one, or hardly a common word between the others."""
+    running = (m["words"] >= 12) & (m["wide_share"] <= 0.1) & (m["own_chars"] == 0)
+    wrong = (m["articles"] >= 3) & (m["wrong_articles"] >= 0.3)
+    heap = (m["common_share"] < 0.24) & (m["articles"] < 0.01 * m["words"]) & (m["n_words"] >= 20) & (m["longest_line"] >= 8)
+    return running & (wrong | heap)
+
+
+RULES: list[tuple[str, str | None, Callable[[Stats], np.ndarray]]] = [
+    # published
+    ("words", None, lambda m: (m["n_words"] < PUBLISHED["words"][0]) | (m["n_words"] > PUBLISHED["words"][1])),
+    ("word_length", None, lambda m: ~_native(m) & ((m["word_length"] < PUBLISHED["word_length"][0]) | (m["word_length"] > PUBLISHED["word_length"][1]))),
+    ("symbols", None, lambda m: m["symbol_ratio"] > PUBLISHED["symbols"]),
+    ("bullets", None, lambda m: m["bullet_share"] > PUBLISHED["bullets"]),
+    ("ellipses", None, lambda m: m["ellipsis_share"] > PUBLISHED["ellipses"]),
+    ("lettered", None, lambda m: m["lettered_share"] < PUBLISHED["lettered"]),
+    ("common", None, lambda m: ~_native(m) & (m["common_kinds"] < PUBLISHED["common"])),
+    ("endings", None, lambda m: m["ending_share"] < PUBLISHED["endings"]),
+    ("repeated", None, lambda m: (m["repeated_lines"] > PUBLISHED["repeated"]) | (m["top_phrase"] > PUBLISHED["repeated"])),
+    # of the classes, in the order in which they decide
+    ("rows", "table", lambda m: (m["row_share"] > 0.5) & ((m["body_lines"] >= 2) | (m["cell_lines"] > 0)) & ((m["letter_share"] > 0.02) | (m["tokens"] >= 3 * m["body_lines"]))),
+    ("garbled", "junk", lambda m: ~_markup_table(m) & (m["odd_share"] > 0.25)),
+    ("no_letters", "junk", lambda m: ~_markup_table(m) & _bare(m) & ~_figures(m)),
+    ("encoded", "junk", lambda m: _readable(m) & (m["tokens"] >= 8) & (m["word_length"] <= 10) & (m["hex_share"] > 0.85) & (m["hex_letters"] > 0.2)),
+    ("dense", "junk", _dense),
+    ("tags", "junk", lambda m: _readable(m) & (m["angles"] > 0) & (m["untagged_share"] < 0.35)),
+    ("script", "junk", lambda m: _readable(m) & (m["open_braces"] > 0) & (m["code_share"] > 0.12)),
+    ("same_words", "junk", lambda m: _readable(m) & (m["tokens"] >= 12) & (m["wide_share"] < 0.2) & ((m["token_kinds"] < 0.2) | (m["repeated_pairs"] > 0.75))),
+    ("same_lines", "junk", lambda m: _readable(m) & (m["n_lines"] >= 5) & (m["repeated_lines"] > 0.6)),
+    ("same_runs", "junk", lambda m: _readable(m) & _native(m) & (m["solid_chars"] >= 60) & (m["wide_kinds"] < 0.2)),
+    ("menu_words", "junk", lambda m: _readable(m) & (m["words"] >= 4) & (m["menu_share"] > 0.6)),
+    ("menu_cells", "junk", lambda m: _readable(m) & (m["cells"] >= 6) & (m["n_lines"] <= 3) & (m["small_cell_share"] > 0.9) & (m["separators"] >= 5) & (m["number_share"] < 0.2) & (m["bullet_share"] < 1) & (m["menu_cell_share"] > 0.25)),
+    ("mashed", "junk", lambda m: _readable(m) & (m["latin"] >= 5) & (m["latin_share"] > 0.6) & (m["clumsy_share"] > 0.3) & (m["common_share"] < 0.15)),
+    ("delimited", "table", lambda m: m["same_delimiter"] > 0),
+    ("cell_tags", "table", lambda m: m["cell_tags"] >= 4),
+    ("contents", "list", lambda m: (m["leaders"] >= 3) & (m["leader_share"] > 0.5)),
+    ("markers", "list", lambda m: (m["marked_lines"] >= 2) & (m["marked_share"] > 0.5)),
+    ("unmarked_lines", "list", _unmarked_lines),
+    ("enumeration", "list", _enumerated),
+    ("shuffled", "junk", _shuffled),
+]
+STATISTICS = "n_chars n_words n_lines word_length symbol_ratio letter_share punctuation_ratio bullet_share ellipsis_share ending_share lettered_share number_share common_share common_kinds repeated_lines top_phrase wide_share".split()
+"""The statistics that ``assess`` returns; rules use further ones."""
+
+
+def judge(texts: list[str | None]) -> tuple[list[str | None], list[str | None], list[list[str] | None], Stats]:
+    """Class, reason and failed rules of each text, and its statistics; all null where a text is null or has nothing to see."""
+    m = textstats.statistics([t or "" for t in texts])
+    seen = np.array([t is not None for t in texts]) & (m["seen_chars"] > 0)
+    fails = [(name, kind, test(m) & seen) for name, kind, test in RULES]
+    classes: list[str | None] = ["prose" if s else None for s in seen]
+    reasons: list[str | None] = [None] * len(texts)
+    failed: list[list[str] | None] = [[] if s else None for s in seen]
+    for name, kind, hit in fails:
+        for i in np.flatnonzero(hit).tolist():
+            failed[i].append(name)
+            if kind and reasons[i] is None:
+                classes[i], reasons[i] = kind, name
+    return classes, reasons, failed, m | {"seen": seen}
+
+
+def assess(texts: DataFrame, key: str = "text_id", text: str = "text", statistics: bool = True) -> DataFrame:
+    """``key``, ``text_class``, ``reason``, ``failed`` rules and, if wanted, the statistics of each text.
 
     Null, empty and blank texts have a row of nulls; repeated texts are assessed
     under each id; null ids are kept; other columns are ignored. One pass without
     a shuffle, over whole texts.
     """
     kind = dict(texts.dtypes)[key]
+    names = STATISTICS if statistics else []
+    schema = ", ".join([f"id {kind}", "text_class string", "reason string", "failed array<string>", *(f"{name} double" for name in names)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [classify(t) for t in batch.column("text").to_pylist()]
-            columns: list[pa.Array] = [
-                batch.column("id"),
-                pa.array([c for c, _, _ in found], pa.string()),
-                pa.array([r for _, r, _ in found], pa.string()),
-                pa.array([None if m is None else failures(m) for _, _, m in found], pa.list_(pa.string())),
-            ]
-            columns += [pa.array([None if m is None else float(m[name]) for _, _, m in found], pa.float64()) for name in STATISTICS]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "text_class", "reason", "failed", *STATISTICS])
-
-    return texts.select(F.col(key).alias("id"), F.col(text).alias("text")).mapInArrow(run, f"id {kind}, {SCHEMA}").withColumnRenamed("id", key)
+            ids = batch.column("id")
+            for begin, part in chunks(batch.column("text").to_pylist(), PAGE_CHARS):
+                classes, reasons, failed, m = judge(part)
+                columns = [ids.slice(begin, len(part)), pa.array(classes, pa.string()), pa.array(reasons, pa.string()), pa.array(failed, pa.list_(pa.string()))]
+                columns += [pa.array(m[name].astype(np.float64), mask=~m["seen"]) for name in names]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "text_class", "reason", "failed", *names])
+
+    return texts.select(F.col(key).alias("id"), F.col(text).alias("text")).mapInArrow(run, schema).withColumnRenamed("id", key)

@@ -99,12 +99,12 @@ def grams(hashes: np.ndarray, text_of: np.ndarray, n: int) -> tuple[np.ndarray,
     return mix(total), text_of[:count] == text_of[n - 1 :]
 
 
-def chunks(texts: list[str | None]) -> Iterator[tuple[int, list[str | None]]]:
-    """Runs of texts of about CHUNK_BYTES, with the index of their first."""
+def chunks(texts: list[str | None], most: int = CHUNK_BYTES) -> Iterator[tuple[int, list[str | None]]]:
+    """Runs of texts of about ``most`` characters, with the index of their first."""
     begin = size = 0
     for i, text in enumerate(texts):
         size += len(text or "")
-        if size >= CHUNK_BYTES:
+        if size >= most:
             yield begin, texts[begin : i + 1]
             begin, size = i + 1, 0
     if begin < len(texts):

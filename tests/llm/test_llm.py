@@ -194,7 +194,7 @@ def test_links_bring_back_rows_without_a_chat(spark):
     ],
 )
 def test_text_classes(text, want):
-    assert quality.classify(text)[0] == want
+    assert quality.judge(["x", text, None])[0][1] == want
 
 
 def test_assess_keeps_rows_and_records_reasons(spark):
