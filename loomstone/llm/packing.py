@@ -14,10 +14,10 @@ from loomstone.session import cut
 
 SHARD_SEQUENCES = 1024
 """Sequences that one task packs; shards are drawn by hash, so each has the lengths of the whole corpus and wastes at most about one sequence."""
+SPECS_AT_ONCE = 500
+"""Specs that one plan expression holds; more take further ones."""
 LINEAR, QUADRATIC = 1.0, 1.0 / 2048
 """Cost of a document of n tokens: LINEAR * n + QUADRATIC * n * n, the second for attention within the document."""
-MOST_SPECS = 1000
-"""Specs are held in the plan; more are refused."""
 
 
 def assign(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -60,12 +60,13 @@ def pack(documents: DataFrame, specs: DataFrame, key: str = "doc_id", text: str
     counted = with_tokens(documents, text, vocabulary, (key,)).where("tokens > 0").select(F.col(key).alias("id"), "tokens")
     counted = cut(counted).withColumn("row", F.monotonically_increasing_id())
     wanted = specs.select("spec_name", F.col("capacity").cast("bigint").alias("capacity"), F.coalesce("doc_overhead", F.lit(0)).cast("bigint").alias("overhead")).distinct().where("capacity > overhead and overhead >= 0")
-    chosen = wanted.limit(MOST_SPECS + 1).collect()
-    if len(chosen) > MOST_SPECS:
-        raise ValueError("too many specs")
-    of_specs = F.array(*[F.struct(F.lit(r.spec_name).cast("string").alias("spec_name"), F.lit(r.capacity).cast("bigint").alias("capacity"), F.lit(r.overhead).cast("bigint").alias("overhead")) for r in chosen])
-    # each row of lengths is repeated for each spec
-    each = counted.select("*", F.inline(of_specs)) if chosen else counted.limit(0).selectExpr("*", "'' as spec_name", "1L as capacity", "0L as overhead")
+    each = counted.limit(0).selectExpr("*", "'' as spec_name", "1L as capacity", "0L as overhead")
+    chosen = wanted.collect()  # a row for each spec that someone wrote down
+    for begin in range(0, len(chosen), SPECS_AT_ONCE):
+        of_specs = F.array(*[F.struct(F.lit(r.spec_name).cast("string").alias("spec_name"), F.lit(r.capacity).cast("bigint").alias("capacity"), F.lit(r.overhead).cast("bigint").alias("overhead")) for r in chosen[begin : begin + SPECS_AT_ONCE]])
+        # each row of lengths is repeated for each spec
+        own = counted.select("*", F.inline(of_specs))
+        each = own if not begin else each.unionByName(own)
     net = F.col("capacity") - F.col("overhead")
     pieces = each.withColumn("piece_no", F.explode(F.sequence(F.lit(1), F.ceil(F.col("tokens") / net).cast("int"))))
     first = (F.col("piece_no") - 1) * net

@@ -25,7 +25,7 @@ ABBREVIATIONS = {
     "month": "jan feb mar apr jun jul aug sep sept oct nov dec janv févr avr juil déc ene abr ago dic okt dez mrz янв февр апр авг сент окт нояб дек",
 }
 MONTHS = "januar februar märz april mai juni juli august september oktober november dezember jänner january february march may june july october december"
-STARTERS = "the a an in on at it this that these those when where why who what how if there some most few many after before because since over between one each every no nobody nothing we they he she you i changing run students his her their its but and so then however"
+STARTERS = "the a an in on at it this that these those when where why who what how if there some most few many after before because since over between one each every no nobody nothing we they he she you i his her their its but and so then however"
 PAIRS = {"(": ")", "（": "）", "[": "]", "「": "」", "『": "』", "“": "”", "„": "“", "«": "»", "‹": "›", '"': '"', "【": "】", "〈": "〉", "《": "》", "〝": "〟"}
 BRACKETS = "(（["
 
@@ -36,7 +36,7 @@ _MARKS = re.compile(rf"[{re.escape(''.join(set(PAIRS) | set(PAIRS.values())))}]"
 _WIDE = frozenset("。！？｡।॥؟۔")
 _FILL = "\u2060"
 _TAIL = re.compile(r"(?:['’\u2060]|\s?\[\d+\]|[¹²³⁴-⁹]+)*")
-_WORD_BEFORE = re.compile(r"[^\s.,;:!?()\[\]«»\"“”„]+(?:\.[^\s.,;:!?()\[\]«»\"“”„]+)*$")
+_WORD_BREAK = frozenset(" \t\n\r\x0b\x0c\u00a0\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000,;:!?()[]«»\"“”„")
 _WORD = re.compile(r"[^\W\d_]+")
 _INITIAL = re.compile(r"[^\W\d_]\.")
 _CODE_NAME = re.compile(r"[a-z]+[a-z]*[_\d]\w*|[a-z]+[A-Z]\w*")
@@ -89,6 +89,14 @@ def abbreviation(text: str, stop: int, floor: int = 0) -> str | None:
     return kind
 
 
+def _word_before(text: str, begin: int, end: int) -> str:
+    """The word that ends at ``end``, with full stops inside it."""
+    at = end
+    while at > begin and text[at - 1] not in _WORD_BREAK:
+        at -= 1
+    return text[at:end].strip(".")
+
+
 def _goes_on(text: str, at: int) -> bool:
     """Whether what follows at ``at`` continues a sentence that may have ended: lower case, a comma, a dash before lower case."""
     c = text[at]
@@ -135,8 +143,7 @@ def _stop_ends(text: str, begin: int, s: int, e: int, after: int, end: int) -> b
         elif kind == "month":
             if c.isdigit():
                 return False
-        word = _WORD_BEFORE.search(text, max(begin, s - 40), s)
-        own = word[0] if word else ""
+        own = _word_before(text, begin, s)
         if kind == "often":
             if _goes_on(text, m) or c.isdigit():
                 return False

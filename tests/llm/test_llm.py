@@ -234,7 +234,7 @@ def test_labels_on_labelled_pairs():
         for v in votes:
             counts[v[name]] += 10
         counts[pairs.vote("What do you think of the weather today?", "It is fine. The sun is out and the wind is from the north.")[0][name]] += 1000
-        found = pairs.fit(dict(counts))
+        found = pairs.fit(dict(counts), pairs.LABELLERS[name])
         for (q, a, want), v in zip(LABELLED, votes, strict=True):
             assert (found[v[name]] > pairs.CUTOFFS[name]) == (name in want), (name, q, a, v[name], found[v[name]])
 
