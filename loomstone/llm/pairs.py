@@ -344,10 +344,10 @@ def _language_votes(pair: Pair) -> tuple[int, ...]:
     wanted = asked_languages(pair.question)
     if own != theirs and wanted and (own in wanted or _TRANSLATE.search(pair.question)):
         return (0, 0, 0, 0, -1)
-    told = _sign(own != theirs) if own and theirs else 0
+    told = _sign(own != theirs) if own and theirs else 0  # else neither it nor the script can be told
     mine, yours = (x if x in _SCRIPT_NAMES else "latin" for x in (own, theirs))
     a, b = letters_of(text), letters_of(asked)
-    return (told, _sign(mine != yours, mine != "latin"), _sign(a != b) if a and b else 0, _sign(len(words) >= 5 or len(text) >= 20, len(words) < 3) if own and theirs else -1, -1 if wanted else 0)
+    return (told, _sign(mine != yours, mine != "latin") if told else 0, _sign(a != b) if a and b else 0, _sign(len(words) >= 5 or len(text) >= 20, len(words) < 3) if own and theirs else -1, -1 if wanted else 0)
 
 
 def letters_of(text: str) -> str | None:
