@@ -142,7 +142,10 @@ def code_body(text: pd.Series) -> pd.Series:
             try:
                 ast.parse("\n".join(lines))
                 return "\n".join(lines)
-            except (SyntaxError, ValueError):
+            except SyntaxError as error:
+                # whatever holds that line as well fails there too
+                del lines[max(0, min(len(lines), error.lineno or len(lines)) - 1) :]
+            except ValueError:
                 lines.pop()
         return ""
 

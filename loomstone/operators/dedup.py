@@ -10,9 +10,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomstone.operators.components import connected_components
 from loomstone.session import cut
 
 HASHES, BANDS, SHINGLE, THRESHOLD = 128, 16, 5, 0.8
+GROUP_EDGES = 200_000
+"""Components of up to so many pairs (a few MB) are settled in one task each; larger ones round by round, by all."""
 PRIME, TOP = (1 << 61) - 1, (1 << 32) - 1
 
 
@@ -106,39 +109,56 @@ def similar_pairs(signed: DataFrame, key: str, threshold: float = THRESHOLD) ->
     Documents with one signature meet as one, and each further copy is linked to
     the first only, so copies of one text give as many pairs as there are copies.
     """
-    once = signed.where("shingles > 0").groupBy("signature").agg(F.min(key).alias("id"))
-    once = cut(once)
+    signed = cut(signed.where("shingles > 0"))  # signatures cost most, and are read twice
+    once = cut(signed.groupBy(F.xxhash64("signature").alias("h"), F.xxhash64(F.lit(1), "signature").alias("h2")).agg(F.min(key).alias("id"), F.first("signature").alias("signature")))
     of_band = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.slice("signature", i * (HASHES // BANDS) + 1, HASHES // BANDS)))
     rows = once.select("id", F.posexplode(of_band).alias("band", "bucket"))
     pairs = rows.alias("l").join(rows.alias("r"), ["band", "bucket"]).where("l.id < r.id").select(F.col("l.id").alias("a"), F.col("r.id").alias("b")).distinct()
     texts = once.select("id", "signature")
     both = pairs.join(texts.withColumnsRenamed({"id": "a", "signature": "sa"}), "a").join(texts.withColumnsRenamed({"id": "b", "signature": "sb"}), "b")
     apart = both.select("a", "b", similarity(F.col("sa"), F.col("sb")).alias("similarity")).where(F.col("similarity") >= threshold)
-    same = signed.where("shingles > 0").join(once.withColumnRenamed("id", "a"), "signature").where(F.col(key) != F.col("a")).select("a", F.col(key).alias("b"), F.lit(1.0).alias("similarity"))
+    same = signed.withColumns({"h": F.xxhash64("signature"), "h2": F.xxhash64(F.lit(1), "signature")}).join(once.select("h", "h2", F.col("id").alias("a")), ["h", "h2"]).where(F.col(key) != F.col("a")).select("a", F.col(key).alias("b"), F.lit(1.0).alias("similarity"))
     return apart.unionByName(same)
 
 
-def greedy_keep(nodes: DataFrame, pairs: DataFrame, key: str, max_rounds: int = 200) -> DataFrame:
+def greedy_keep(nodes: DataFrame, pairs: DataFrame, key: str) -> DataFrame:
     """Rows kept if each is taken in order of ``key`` unless it is similar to one taken before.
 
-    That is the first maximal independent set in order of the key. Each round
-    keeps what has no undecided earlier neighbour and drops the neighbours of
-    what was kept, until nothing is undecided.
+    That is the first maximal independent set in order of the key. Pairs that hang
+    together are settled in one task, in order; where so many do that they are
+    too much for one task, all tasks settle them in rounds, as many as it takes.
     """
     edges = cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct())
+    if edges.isEmpty():
+        return nodes
+    kind = dict(edges.dtypes)["a"]
+    placed = cut(edges.join(connected_components(edges, "a", "b").withColumnRenamed("node", "a"), "a"))
+    sizes = placed.groupBy("component").count()
+    large = cut(sizes.where(F.col("count") > GROUP_EDGES).select("component"))
+
+    def settle(keyed: tuple, table: pa.Table) -> pa.Table:
+        gone: set = set()
+        for a, b in sorted(zip(table.column("a").to_pylist(), table.column("b").to_pylist(), strict=True)):
+            if a not in gone:  # all pairs of a as the later one came before
+                gone.add(b)
+        return pa.table({"n": pa.array(list(gone), table.schema.field("b").type)})
+
+    dropped = placed.join(large, "component", "left_anti").select("component", "a", "b").groupBy("component").applyInArrow(settle, f"n {kind}")
+    if not large.isEmpty():
+        dropped = dropped.unionByName(_settled_in_rounds(placed.join(large, "component", "left_semi").select("a", "b")))
+    return nodes.join(dropped.withColumnRenamed("n", key), key, "left_anti")
+
+
+def _settled_in_rounds(live: DataFrame) -> DataFrame:
+    """What is dropped: each round keeps what has no undecided earlier neighbour and drops the neighbours of that, until nothing is undecided."""
     dropped: DataFrame | None = None
-    live = edges
-    for _ in range(max_rounds):
-        if live.isEmpty():
-            break
+    while not live.isEmpty():
         later = live.select(F.col("b").alias("n")).distinct()
         kept = live.select(F.col("a").alias("n")).distinct().join(later, "n", "left_anti")
         gone = cut(live.join(kept.withColumnRenamed("n", "a"), "a", "left_semi").select(F.col("b").alias("n")).distinct())
         dropped = gone if dropped is None else dropped.unionByName(gone)
         live = cut(live.join(gone.withColumnRenamed("n", "b"), "b", "left_anti").join(gone.withColumnRenamed("n", "a"), "a", "left_anti").join(kept.withColumnRenamed("n", "a"), "a", "left_anti"))
-    else:
-        raise RuntimeError("not settled")
-    return nodes if dropped is None else nodes.join(dropped.withColumnRenamed("n", key), key, "left_anti")
+    return dropped
 
 
 def index_stats(signed: DataFrame, key: str) -> DataFrame:

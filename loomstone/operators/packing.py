@@ -15,7 +15,8 @@ def concat_and_chunk(tokens: DataFrame, order: list[str], items: str, length: in
     """Rows of exactly ``length`` tokens cut from the concatenation of all rows in order; the ragged end is dropped.
 
     The offset of each row is the size of the rows before it, added up by the
-    first order key's ranges, so the concatenation exists in no task.
+    first order key's ranges, so the concatenation exists in no task, and what is
+    shuffled are spans, not tokens.
     """
     key = F.col(order[0])
     sized = tokens.withColumn("_n", F.size(items)).withColumn("_range", F.floor(key / 4096))
@@ -23,10 +24,15 @@ def concat_and_chunk(tokens: DataFrame, order: list[str], items: str, length: in
     offsets = per.withColumn("_offset", F.coalesce(F.sum("_sum").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_sum")
     within = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     placed = sized.withColumn("_within", F.coalesce(F.sum("_n").over(within), F.lit(0))).join(offsets, "_range")
-    flat = placed.select((F.col("_offset") + F.col("_within")).alias("_start"), F.posexplode(items).alias("_i", "_t"))
-    spot = flat.select((F.col("_start") + F.col("_i")).alias("_spot"), "_t")
-    rows = spot.groupBy(F.floor(F.col("_spot") / length).alias("sequence")).agg(F.sort_array(F.collect_list(F.struct("_spot", "_t"))).alias("_all"))
-    return rows.where(F.size("_all") == length).select("sequence", F.transform("_all", lambda x: x["_t"]).alias(items))
+    # a row goes to each sequence that it reaches into, as one span
+    start = F.col("_offset") + F.col("_within")
+    spans = placed.where("_n > 0").select(start.alias("_start"), "_n", items, F.explode(F.sequence(F.floor(start / length), F.floor((start + F.col("_n") - 1) / length))).alias("sequence"))
+    left = F.greatest(F.lit(0), F.col("sequence") * length - F.col("_start"))
+    own = F.slice(items, (left + 1).cast("int"), F.least(F.lit(length), F.col("_n") - left, (F.col("sequence") + 1) * length - F.col("_start")).cast("int"))
+    cut_out = spans.select("sequence", "_start", own.alias("_t"))
+    rows = cut_out.groupBy("sequence").agg(F.sort_array(F.collect_list(F.struct("_start", "_t"))).alias("_all"))
+    whole = rows.select("sequence", F.flatten(F.transform("_all", lambda x: x["_t"])).alias(items))
+    return whole.where(F.size(items) == length)
 
 
 def best_fit(df: DataFrame, shard: str, key: str, size: str, capacity: int) -> DataFrame:

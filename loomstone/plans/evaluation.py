@@ -12,7 +12,10 @@ from loomstone.functions import constants as K
 from loomstone.functions import quality as Q
 from loomstone.functions import turns as U
 from loomstone.operators import classify, mixing, records
+from loomstone.plans.base import fraction as fraction_sql
 from loomstone.plans.base import ORACLES, QUERIES, any_of, lit, query, starts, strip, tokens, turns
+from loomstone.plans.texts import _GATES as GATES_SQL
+from loomstone.plans.texts import SCORES_SQL, D
 from loomstone.session import ensure_checkpoint_dir
 from loomstone.streaming import streams
 
@@ -159,14 +162,19 @@ def _models(t):
     return texts, good
 
 
-@query("clf1_quality_examples")
+_BODY = f"replace({strip('text')}, chr(10), ' ')"
+_GOOD = f"""with s as ({SCORES_SQL.replace(D, "(select text_id as doc_id, text from quality) q where text is not null")}), good as (select text_id, text, substr({_BODY}, 1, 2000) as body from quality join s on doc_id = text_id where quality_score >= 0.9),
+ chosen as (select text_id, body, array_to_string(string_split_regex(body, '\\s+')[1:10], ' ') as ten from good where length(text) > 200 and {fraction_sql(42, 'text_id')} < 0.5)"""
+
+
+@query("clf1_quality_examples", f"{_GOOD} select text_id, body as text, 1.0::double as label from chosen union all select text_id, substr(body, 1, 50), 0.0 from chosen union all select text_id, concat_ws(' ', ten, ten, ten, ten, ten), 0.0 from chosen union all select text_id, body, 0.0 from good where length(text) < 50 and length(text) > 0")
 def clf1(t):
     """Examples of the quality model from texts that score high."""
     _, good = _models(t)
     return classify.quality_examples(good, "text_id", "text", 0.5)
 
 
-@query("clf3_toxicity_examples")
+@query("clf3_toxicity_examples", f"with s as (select text_id, substr({_BODY}, 1, 1000) as text, case when {fraction_sql(5, 'text_id')} >= 0.5 then 1.0 when {fraction_sql(5, 'text_id')} < 0.1 then 0.0 end::double as label from quality where length(text) >= 20) select text_id, text, label from (select *, row_number() over (partition by label order by md5('42:' || text_id), text_id) as p from s where label is not null) x where p <= 2000")
 def clf3(t):
     texts = t("quality").where("text is not null").withColumn("score", mixing.fraction(5, F.col("text_id")))
     return classify.toxicity_examples(texts, "text_id", "text", "score", 2000)
@@ -189,7 +197,7 @@ def sco13(t):
     return classify.blended(quality, toxic, Q.scored(texts.select("text_id", "text")), "text_id").select("text_id", "blended", "verdict")
 
 
-@query("sco12_sorted_scores", None)
+@query("sco12_sorted_scores", f"with s as ({SCORES_SQL}), g as (select doc_id, {GATES_SQL} as passes from {D}) select doc_id, quality_score from s join g using (doc_id) where passes and quality_score >= 0.45")
 def sco12(t):
     """Passing documents, best first."""
     docs = t("documents").where("text is not null").select("doc_id", "text").where(Q.gates(F.col("text")))

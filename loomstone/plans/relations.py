@@ -353,6 +353,26 @@ def srt4(t):
     return docs(t).select("doc_id", F.length("text").alias("n")).orderBy(F.desc("n"), "doc_id").limit(200)
 
 
+@query("srt5_children_by_rank", "select o_custkey as parent, o_orderkey as child, row_number() over (partition by o_custkey order by coalesce(try_cast(substr(o_orderpriority, 1, 1) as int), 99), o_orderkey) as place from orders")
+def srt5(t):
+    """Children of each parent by rank, those without one last."""
+    rank = F.coalesce(F.try_to_number(F.substring("o_orderpriority", 1, 1), F.lit("9")).cast("int"), F.lit(99))
+    place = F.row_number().over(Window.partitionBy("o_custkey").orderBy(rank, "o_orderkey"))
+    return t("orders").select(F.col("o_custkey").alias("parent"), F.col("o_orderkey").alias("child"), place.alias("place"))
+
+
+@query("srt6_head", "select id, prompt from battery_prompts order by id limit 20")
+def srt6(t):
+    return t("battery_prompts").select("id", "prompt").orderBy("id").limit(20)
+
+
+@query("srt9_last_checkpoint", r"select event_type, max(regexp_extract(props, '(\d+)', 1)::bigint) as step from events where regexp_matches(props, '\d') group by 1")
+def srt9(t):
+    """The highest number in a series of names, compared as a number."""
+    step = F.regexp_extract("props", r"(\d+)", 1).try_cast("bigint")
+    return t("events").groupBy("event_type").agg(F.max(step).alias("step")).where("step is not null")
+
+
 @query("srt7_offset", "select id from battery_prompts order by id limit 50 offset 100")
 def srt7(t):
     return t("battery_prompts").select("id").orderBy("id").offset(100).limit(50)

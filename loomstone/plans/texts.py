@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -9,8 +11,9 @@ from loomstone.functions import constants as K
 from loomstone.functions import quality as Q
 from loomstone.functions import text as T
 from loomstone.functions import turns as U
+from loomstone.operators import packing
 from loomstone.plans.base import any_of, blocks, joined, lit, newlines, query, strip, tokens, turns, unix, words
-from loomstone.session import spread
+from loomstone.session import ensure_checkpoint_dir, spread
 from loomstone.sources import files
 
 # Our own lexicon of unsafe wording, and languages whose code pairs are left out.
@@ -33,7 +36,20 @@ def src2(t):
     return files.blank_line_documents(t("documents").where("text is not null"), F.col("text"), ["doc_id"], 199)
 
 
-@query("src3_sentinel_documents")
+def _mend_sql(x: str) -> str:
+    for bad, good in K.MOJIBAKE:
+        x = f"replace({x}, {lit(bad)}, {lit(good)})"
+    return x
+
+
+_SENTINELS = rf"""with j as (select source, doc_id // 16 as file, string_agg(text, chr(10) || '{files.SENTINEL}' || chr(10) order by doc_id) as body from {D} group by 1, 2),
+ p as (select source, file, string_split_regex({unix('body')}, '(?m)^[ \t]*<\|doc\|>[ \t]*$') as p from j),
+ b as (select source, file, [{_mend_sql(strip('x'))} for x in list_concat(string_split_regex(p[1], '\n[ \t]*(?:\n[ \t]*)+'), p[2:])] as b from p),
+ k as (select source, file, [x for x in b if length(x) >= 200] as k from b)
+ select source, file, unnest(range(1, len(k) + 1))::int as part, unnest(k) as text from k"""
+
+
+@query("src3_sentinel_documents", _SENTINELS)
 def src3(t):
     """Documents written one after the other behind sentinels, a source at a time, and read again."""
     joined_texts = t("documents").where("text is not null").groupBy("source", F.floor(F.col("doc_id") / 16).alias("file")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("doc_id", "text"))), lambda x: x["text"]), f"\n{files.SENTINEL}\n").alias("body"))
@@ -54,6 +70,43 @@ def src5(t):
     return parsed.where(T.strip(F.col("j.text")) != "").select("rec_id", "j.source")
 
 
+def _folder(t, name: str) -> str:
+    """A new folder in the shared one."""
+    return f"{ensure_checkpoint_dir(t('region').sparkSession)}/{name}-{uuid.uuid4().hex}"
+
+
+@query("snk1_document_files", f"select 0 as path_rank, md5({_mend_sql(strip(unix('text')))}) as key from {D} and {strip(unix('text'))} <> '' union all select 1, md5({_mend_sql(strip(unix('text')))}) from quality where text is not null and {strip(unix('text'))} <> ''")
+def snk1(t):
+    """Documents of two tables written as text files behind sentinels, and read from both paths; a path that isn't there is skipped."""
+    folder = _folder(t, "snk1")
+    files.write_documents(t("documents"), f"{folder}/documents")
+    files.write_documents(t("quality"), f"{folder}/quality")
+    back = files.read_documents(t("region").sparkSession, [f"{folder}/documents", f"{folder}/quality", f"{folder}/none"], sentinel=True, least=1)
+    return back.select("path_rank", F.md5("text").alias("key"))
+
+
+@query("snk2_jsonl_files", f"select md5(text) as key, source, category from download_instruct where length({strip('text')}) >= 80")
+def snk2(t):
+    """Records written as JSON lines among broken ones, and read again."""
+    spark = t("region").sparkSession
+    lines = t("download_instruct").select(F.to_json(F.struct("text", "source", "category")).alias("value"))
+    broken = spark.createDataFrame([("{broken",), ("",), ('{"text": 3',)], "value string")
+    folder = _folder(t, "snk2")
+    lines.unionByName(broken).write.text(folder)
+    return files.read_jsonl(spark, folder, 80).select(F.md5("text").alias("key"), "source", "category")
+
+
+@query("snk3_shard_files", f"with w as (select text_id, {tokens('text')} as w from quality where text is not null), f as (select text_id, unnest(range(len(w))) as i, unnest(w) as x from w), o as (select x, row_number() over (order by text_id, i) - 1 as p from f) select (p // 256) as sequence, md5(string_agg(x, ' ' order by p)) as key, sum((x <> 'the')::int)::int as counted from o group by 1 having count(*) = 256")
+def snk3(t):
+    """Packed sequences with their masks written as shards and read again; each row holds both, so they can't be paired wrongly."""
+    rows = t("quality").where("text is not null").select("text_id", T.tokens(F.col("text")).alias("w"))
+    packed = packing.concat_and_chunk(rows, ["text_id"], "w", 256).withColumn("mask", F.transform("w", lambda x: (x != "the").cast("int")))
+    folder = _folder(t, "snk3")
+    files.write_shards(packed.withColumnRenamed("w", "tokens"), folder, 1000)
+    back = files.read_shards(t("region").sparkSession, folder, 256)
+    return back.select("sequence", F.md5(F.array_join("tokens", " ")).alias("key"), F.aggregate("mask", F.lit(0), lambda a, x: a + x).alias("counted"))
+
+
 @query("src6_multi_path_source", "select 0 as path_rank, doc_id as id, length(text)::int as n from documents union all select 1, rec_id, length(text)::int from download_instruct union all select 2, text_id, length(text)::int from quality")
 def src6(t):
     one = lambda rank, name, key: t(name).select(F.lit(rank).alias("path_rank"), F.col(key).alias("id"), F.length("text").alias("n"))
@@ -101,12 +154,6 @@ def prj4(t):
     return t("documents").where("text is not null").select("doc_id", F.length(x).alias("n"), F.md5(x).alias("key"))
 
 
-def _mend_sql(x: str) -> str:
-    for bad, good in K.MOJIBAKE:
-        x = f"replace({x}, {lit(bad)}, {lit(good)})"
-    return x
-
-
 @query("prj5_mended", f"select doc_id, md5({_mend_sql('text')}) as key, {_mend_sql('text')} <> text as changed from {D}")
 def prj5(t):
     x = T.mend(F.col("text"))

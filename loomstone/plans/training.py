@@ -257,10 +257,10 @@ def pck2(t):
     return packing.best_fit(sharded, "shard", "rec_id", "n", 1024)
 
 
-@query("pck3_padded", f"select rec_id, md5(array_to_string(list_resize([1 for x in {tokens('text')}], 128, 0), '')) as mask from download_instruct where text is not null and len({tokens('text')}) <= 128")
+@query("pck3_padded", f"select rec_id, md5(array_to_string(list_resize([1 for x in {tokens('text')}], 128, 0), '')) as mask from download_instruct where text is not null")
 def pck3(t):
-    rows = t("download_instruct").where("text is not null").select("rec_id", F.size(T.tokens(F.col("text"))).alias("n")).where("n <= 128")
-    mask = packing.padded(F.array_repeat(F.lit(1), F.col("n")), 128, 0)
+    rows = t("download_instruct").where("text is not null").select("rec_id", F.size(T.tokens(F.col("text"))).alias("n"))
+    mask = packing.padded(F.array_repeat(F.lit(1), F.col("n")), 128, 0)  # longer ones are cut
     return rows.select("rec_id", F.md5(F.array_join(F.transform(mask, lambda x: x.cast("string")), "")).alias("mask"))
 
 

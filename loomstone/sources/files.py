@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from loomstone.functions import text as T
 
 SENTINEL = "<|doc|>"
+SENTINEL_LINE = r"(?md)^[ \t]*<\|doc\|>[ \t]*$"
+BLANK_LINES = r"\n[ \t]*(?:\n[ \t]*)+"
 
 
 def blank_line_documents(texts: DataFrame, text: Column, keys: list[str], more_than: int = 50) -> DataFrame:
@@ -17,21 +19,23 @@ def blank_line_documents(texts: DataFrame, text: Column, keys: list[str], more_t
     return texts.select(*keys, F.posexplode(blocks).alias("part", "text")).withColumn("part", F.col("part") + 1)
 
 
-def sentinel_documents(texts: DataFrame, text: Column, keys: list[str], least: int = 1) -> DataFrame:
-    """Documents of the newer layout: up to the first sentinel blank lines part documents too, after it sentinels alone do."""
-    at = F.instr(text, SENTINEL)
-    head = F.when(at > 0, F.left(text, at - 1)).otherwise(text)
-    tail = F.when(at > 0, F.substring(text, at + F.lit(len(SENTINEL)), F.length(text))).otherwise(F.lit(None))
-    blocks = F.concat(F.split(head, r"\n[ \t]*(?:\n[ \t]*)+"), F.coalesce(F.split(tail, r"(?m)^?" + r"<\|doc\|>"), F.array().cast("array<string>")))
+def sentinel_documents(texts: DataFrame, text: Column, keys: list[str], least: int = 200) -> DataFrame:
+    """Documents of the newer layout: up to the first sentinel blank lines part documents too, after it sentinels alone do. A sentinel is a line of its own; inside a line it is text."""
+    unix = F.replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
+    pieces = F.split(unix, SENTINEL_LINE)
+    blocks = F.concat(F.split(F.element_at(pieces, 1), BLANK_LINES), F.slice(pieces, 2, F.size(pieces)))
     kept = F.filter(F.transform(blocks, lambda b: T.mend(T.strip(b))), lambda b: F.length(b) >= least)
     return texts.select(*keys, F.posexplode(kept).alias("part", "text")).withColumn("part", F.col("part") + 1)
 
 
-def read_documents(spark: SparkSession, paths: list[str], sentinel: bool = False, more_than: int = 50) -> DataFrame:
+def read_documents(spark: SparkSession, paths: list[str], sentinel: bool = False, more_than: int = 50, least: int = 200) -> DataFrame:
     """Documents of text files read in the order of ``paths``: ``path_rank``, ``path``, ``part``, ``text``; missing files are skipped.
 
-    In the newer layout the sentinel is the record separator, so that a file of
-    any size is read in splits; the older layout needs whole files.
+    In the newer layout the sentinel line is the record separator, so that a file
+    of any size is read in splits; each file's first record, up to its first
+    sentinel, is parted at blank lines as in the older layout. Documents of fewer
+    than ``least`` characters (older layout: not ``more_than``) are left out.
+    The older layout needs whole files.
     """
     found: DataFrame | None = None
     for rank, path in enumerate(paths):
@@ -40,7 +44,11 @@ def read_documents(spark: SparkSession, paths: list[str], sentinel: bool = False
             continue
         if sentinel:
             rows = spark.read.option("lineSep", f"\n{SENTINEL}\n").text(path)
-            own = rows.select(F.lit(rank).alias("path_rank"), F.lit(path).alias("path"), F.monotonically_increasing_id().alias("part"), T.mend(T.strip(F.col("value"))).alias("text")).where("text <> ''")
+            rows = rows.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("n"))
+            head = rows.where("at = 0").groupBy("file").agg(F.min("n").alias("first"))
+            named = rows.join(head, "file", "left").select("n", F.when(F.col("n") == F.col("first"), F.col("value")).otherwise(F.concat(F.lit(SENTINEL + "\n"), "value")).alias("value"))
+            own = sentinel_documents(named, F.col("value"), ["n"], least)
+            own = own.select(F.lit(rank).alias("path_rank"), F.lit(path).alias("path"), (F.col("n") * 1_000_000 + F.col("part")).alias("part"), "text")
         else:
             rows = spark.read.text(path, wholetext=True)
             own = blank_line_documents(rows.withColumns({"path_rank": F.lit(rank), "path": F.lit(path)}), F.col("value"), ["path_rank", "path"], more_than)
@@ -65,8 +73,10 @@ def read_log(spark: SparkSession, path: str, last: int) -> DataFrame:
 
 
 def write_documents(documents: DataFrame, path: str, text: str = "text", sentinel: bool = True) -> None:
+    """Documents one after the other: each behind a sentinel line, or, in the older layout, before a blank line."""
     unix = F.replace(F.replace(F.col(text), F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
-    documents.select(unix.alias("value")).write.mode("overwrite").option("lineSep", f"\n{SENTINEL}\n" if sentinel else "\n\n").text(path)
+    value = F.concat(F.lit(SENTINEL + "\n"), unix) if sentinel else unix
+    documents.where(F.col(text).isNotNull()).select(value.alias("value")).write.mode("overwrite").option("lineSep", "\n" if sentinel else "\n\n").text(path)
 
 
 def write_jsonl(records: DataFrame, path: str) -> None:

@@ -94,27 +94,36 @@ def stalled(events: DataFrame, group: str, seconds: int) -> DataFrame:
 
 
 def near_duplicate_batches(documents: DataFrame, key: str, text: str, index_path: str, verdicts_path: str) -> DataFrame:
-    """Micro-batches filtered against the bands of all that was kept before; the index and the verdicts are tables, so a restart goes on from them."""
+    """Micro-batches filtered against the bands of all that was kept before.
+
+    The index and the verdicts are tables with a part for each batch, which is
+    written over if the batch is run again, and a batch is held against the parts
+    of earlier batches only: a batch that broke off, wherever it did, gives the
+    same rows when it is run again.
+    """
+    def parts(spark: SparkSession, epoch: int) -> list[str]:
+        root = spark._jvm.org.apache.hadoop.fs.Path(index_path)
+        files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+        found = [s.getPath().getName() for s in files.listStatus(root)] if files.exists(root) else []
+        return [f"{index_path}/{name}" for name in found if name.startswith("epoch=") and int(name[6:]) < epoch]
+
     def one(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
         signed = signatures(batch.where(F.col(text).isNotNull()), key, text).persist()
         fresh = signed
-        try:
-            index = spark.read.parquet(index_path)
+        if earlier := parts(spark, epoch):
+            index = spark.read.parquet(*earlier)
             own, old = bands(signed, key), bands(index, key).withColumnRenamed(key, "old")
             met = own.join(old, ["band", "bucket"]).select(key, "old").distinct()
             close = met.join(signed, key).join(index.select(F.col(key).alias("old"), F.col("signature").alias("s2")), "old").where(similarity(F.col("signature"), F.col("s2")) >= 0.8)
             fresh = signed.join(close.select(key).distinct(), key, "left_anti")
-        except Exception as error:  # the first batch has no index
-            if "PATH_NOT_FOUND" not in str(error):
-                raise
         # a checkpoint, as a cached table that reads the index would be read anew once the index grows
         fresh = cut(fresh)
         kept = cut(greedy_keep(fresh, similar_pairs(fresh, key), key))
-        kept.write.mode("append").parquet(index_path)
-        kept.select(key).write.mode("append").parquet(verdicts_path)
+        kept.write.mode("overwrite").parquet(f"{index_path}/epoch={epoch}")
+        kept.select(key).write.mode("overwrite").parquet(f"{verdicts_path}/epoch={epoch}")
         signed.unpersist()
 
     query = documents.writeStream.foreachBatch(one).option("checkpointLocation", f"{verdicts_path}-checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    return documents.sparkSession.read.parquet(verdicts_path)
+    return documents.sparkSession.read.parquet(verdicts_path).select(key)
