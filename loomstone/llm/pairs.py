@@ -113,9 +113,10 @@ _SIGNS = [s.replace("_", " ") for s in REFUSAL_SIGNS.split()]
 _SORRY = re.compile(SORRY, re.I)
 _TRAP_BEGIN = re.compile(r"\s*(?:you (?:could|can|might) (?:write|say|tell)|(?:write|say|try|tell \w+)\s*:|here is (?:a|one) (?:way|draft))", re.I)
 _TRAP = re.compile(r"[\"“][^\"”]{0,60}(?:sorry|can[’']?t|cannot)|\bnot able to \w+ every\b|\bhere (?:is|are) what\b|\bsorry to hear\b", re.I)
-_TRANSLATE, _REPEAT = re.compile(TRANSLATE, re.I), re.compile(REPEAT, re.I)
-_NAMED = {code: re.compile("|".join(re.escape(w) for w in words.split()), re.I) for code, words in LANGUAGES.items()}
-_ANY_NAMED = re.compile("|".join(re.escape(w) for words in LANGUAGES.values() for w in words.split()), re.I)
+# questions are searched in lower case, which is far cheaper than ignoring case
+_TRANSLATE, _REPEAT = re.compile(TRANSLATE), re.compile(REPEAT)
+_NAMED = {code: re.compile("|".join(re.escape(w) for w in words.lower().split())) for code, words in LANGUAGES.items()}
+_ANY_NAMED = re.compile("|".join(re.escape(w) for words in LANGUAGES.values() for w in words.lower().split()))
 _STOP_OF: dict[str, tuple[str, ...]] = {}
 for _code, _words in STOPWORDS.items():
     for _w in _words.split():
@@ -131,7 +132,7 @@ _LETTERS = {"de": re.compile("[äöüß]"), "fr": re.compile("[êèàçœùîô]
 _QUOTED = re.compile(r'"[^"]*"|“[^”]*”|«[^»]*»|„[^“]*“')
 _FIRST_PERSON = re.compile(r"\b(?:i|i'm|we|my|our)\b[^.!?]{0,30}(?:\bnot\b|n't\b|\bcannot\b|\bunable\b|\brefuse|\bdeclin|\bagainst\b)|\bagainst\b[^.!?]{0,20}\b(?:my|our)\b|\b(?:my|our)\b[^.!?]{0,20}\b(?:rules|guidelines|polic)|\bsomething i\b")
 _NAME = re.compile(r"\b[A-ZÀ-Þ]\w*")
-_PLAIN = re.compile(r"\b(?:th|wh|sh)|ing\b|[aeiou]ght\b")
+_PLAIN = (" th", " wh", " sh", "ing ", "ight")
 _SCRIPT_NAMES = frozenset(("th", "hi", "ar", "ru", "ja", "ko", "zh"))
 _SCRIPTS = [("th", re.compile(r"[฀-๿]")), ("hi", re.compile(r"[ऀ-ॿ]")), ("ar", re.compile(r"[؀-ۿ]")), ("ru", re.compile(r"[Ѐ-ӿ]")), ("ja", re.compile(r"[぀-ヿ]")), ("ko", re.compile(r"[가-힯]")), ("zh", re.compile(r"[一-鿿]"))]
 _ITEM = re.compile(r"\s*(?:[-*+•·]|\(?\d{1,3}[.)]|\(?[a-zA-Z][.)])\s+\S")
@@ -174,10 +175,10 @@ def language(text: str, words: list[str] | None = None) -> str | None:
             if found >= 3 and found > 0.12 * letters:
                 return code
     votes: dict[str, float] = {}
-    for w in words if words is not None else _WORD.findall(text.lower()):
-        codes = _STOP_OF.get(w, ())
-        for code in codes:
-            votes[code] = votes.get(code, 0.0) + 1 / len(codes)
+    for w, n in Counter(words if words is not None else _WORD.findall(text.lower())).items():
+        if codes := _STOP_OF.get(w):
+            for code in codes:
+                votes[code] = votes.get(code, 0.0) + n / len(codes)
     if not votes:
         return None
     ranked = sorted(votes.items(), key=lambda x: -x[1])[:2]
@@ -191,6 +192,7 @@ def language(text: str, words: list[str] | None = None) -> str | None:
 
 
 def asked_languages(question: str) -> set[str]:
+    """Languages that a question, in lower case, names."""
     if not _ANY_NAMED.search(question):
         return set()
     return {code for code, names in _NAMED.items() if names.search(question)}
@@ -217,6 +219,7 @@ class Pair:
     """A question and an answer with what several functions need of them."""
 
     question: str
+    query: str
     bare: str
     low: str
     asked: list[str]
@@ -240,8 +243,9 @@ def read_pair(question: str, answer: str) -> Pair:
     bare = answer.strip(_UNSEEN + " \t\n\u3000\xa0")
     low = bare.lower()
     lines = bare.split("\n")
-    told = bool(_REPEAT.search(question) or _TRANSLATE.search(question))
-    return Pair(question, bare, low, _WORD.findall(question.lower()), _WORD.findall(low), lines, [x.rstrip() for x in lines if _ITEM.match(x)], ended_by_mark(bare), len(_SENTENCE.findall(bare)), told)
+    query = question.lower()
+    told = bool(_REPEAT.search(query) or _TRANSLATE.search(query))
+    return Pair(question, query, bare, low, _WORD.findall(query), _WORD.findall(low), lines, [x.rstrip() for x in lines if _ITEM.match(x)], ended_by_mark(bare), len(_SENTENCE.findall(bare)), told)
 
 
 def ended_by_mark(text: str) -> bool:
@@ -338,11 +342,11 @@ def _copied_votes(pair: Pair) -> tuple[int, ...]:
 
 def _language_votes(pair: Pair) -> tuple[int, ...]:
     """Language by script or function words; script alone; letters of one language only; enough text to tell; another language asked for, beside which the others say nothing."""
-    text, asked = _CODE.sub(" ", pair.bare), _CODE.sub(" ", pair.question)
+    text, asked = (_CODE.sub(" ", x) if "```" in x or "~~~" in x else x for x in (pair.bare, pair.question))
     words = pair.words if text == pair.bare else _WORD.findall(text.lower())
     own, theirs = language(text, words), language(asked, pair.asked)
-    wanted = asked_languages(pair.question)
-    if own != theirs and wanted and (own in wanted or _TRANSLATE.search(pair.question)):
+    wanted = asked_languages(pair.query)
+    if own != theirs and wanted and (own in wanted or _TRANSLATE.search(pair.query)):
         return (0, 0, 0, 0, -1)
     told = _sign(own != theirs) if own and theirs else 0  # else neither it nor the script can be told
     mine, yours = (x if x in _SCRIPT_NAMES else "latin" for x in (own, theirs))
@@ -352,9 +356,11 @@ def _language_votes(pair: Pair) -> tuple[int, ...]:
 
 def letters_of(text: str) -> str | None:
     """The language of Latin script that the letters of a text's words point to, names left out; None if to none or several."""
+    if text.isascii():
+        return "en" if sum(map(text.count, _PLAIN)) >= 3 else None
     low = _NAME.sub(" ", text)
     if low.isascii():
-        return "en" if len(_PLAIN.findall(low)) >= 3 else None
+        return "en" if sum(map(low.count, _PLAIN)) >= 3 else None
     found = [code for code, own in _LETTERS.items() if own.search(low)]
     return found[0] if len(found) == 1 else None
 
