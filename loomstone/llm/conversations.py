@@ -25,6 +25,8 @@ ROLES = {
 }
 FAILURE = "error|fail|abort|stopp|empty|no ?(?:output|reply|response|answer|content|text|tokens?)|time[d -]?out|cancel|interrupt|exceed|unavailable|missing|blank|null|undefined|nothing"
 REPEAT_SECONDS = 5
+_CODES = ["user", "assistant", "system"]
+_USER, _ASSISTANT, _SYSTEM = 1, 2, 3
 _GAP, _HOUR = REPEAT_SECONDS * 1_000_000, 3_600_000_000
 
 _OUTER = r"(?U)^[\s\p{Cf}]+|[\s\p{Cf}]+$"
@@ -108,32 +110,33 @@ def rebuild(messages: DataFrame, chats: DataFrame, links: DataFrame | None = Non
     found = connected_components(edges, "a", "b")
     found = cut(found.select("node", F.col("component").alias("conv")))
     chat_of = _placed(named, found, links is not None).groupBy("conv").agg(F.min("spelling").alias("chat_id"))
-    slim = cut(_placed(rows, found, links is not None).select("conv", "message_id", "role", "t", "failed", "h", "m"))
+    code = F.array_position(F.array(*map(F.lit, _CODES)), F.col("role")).cast("byte")  # null where the role is
+    slim = cut(_placed(rows, found, links is not None).select("conv", "message_id", code.alias("role"), "t", "failed", "h", "m"))
     bad = F.col("failed") | F.col("role").isNull() | F.col("t").isNull()
     sound = (
         slim.groupBy("conv")
-        .agg(F.max(bad).alias("bad"), F.count_if(F.col("role") == "user").alias("users"), F.count_if(F.col("role") == "assistant").alias("assistants"))
+        .agg(F.max(bad).alias("bad"), F.count_if(F.col("role") == _USER).alias("users"), F.count_if(F.col("role") == _ASSISTANT).alias("assistants"))
         .where("not bad and users > 0 and assistants > 0")
         .select("conv")
     )
-    timed = slim.drop("failed").withColumn("hour", F.floor(F.col("t") / _HOUR)).join(sound.join(chat_of, "conv"), "conv")
+    timed = slim.drop("failed").withColumn("hour", F.floor(F.col("t") / _HOUR)).join(sound, "conv", "left_semi")
     # by chat and hour, so that no later step puts a chat into one task
-    turns = _turns(timed.repartition("conv", "hour"))
-    ranked = cut(_ranked(turns.repartition("conv", "hour")))
+    turns = cut(_turns(timed.repartition("conv", "hour")))
+    ranked = _ranked(turns.repartition("conv", "hour"))
     whole = (
         ranked.groupBy("conv")
         .agg(
             F.count(F.lit(1)).alias("n"),
-            F.count_if(F.col("role") == "system").alias("systems"),
-            F.count_if((F.col("role") == "system") & (F.col("rank") == 1)).alias("first"),
-            F.count_if(F.col("role") != F.when(F.col("rank") % 2 == 1, "user").otherwise("assistant")).alias("plain"),
-            F.count_if((F.col("rank") > 1) & (F.col("role") != F.when(F.col("rank") % 2 == 0, "user").otherwise("assistant"))).alias("shifted"),
+            F.count_if(F.col("role") == _SYSTEM).alias("systems"),
+            F.count_if((F.col("role") == _SYSTEM) & (F.col("rank") == 1)).alias("first"),
+            F.count_if(F.col("role") != F.when(F.col("rank") % 2 == 1, _USER).otherwise(_ASSISTANT)).alias("plain"),
+            F.count_if((F.col("rank") > 1) & (F.col("role") != F.when(F.col("rank") % 2 == 0, _USER).otherwise(_ASSISTANT))).alias("shifted"),
         )
         .where("(systems = 0 and plain = 0 and n % 2 = 0) or (systems = 1 and first = 1 and shifted = 0 and n % 2 = 1 and n > 1)")
         .select("conv")
     )
-    kept = ranked.join(whole, "conv")
-    return kept.select("chat_id", F.col("rank").cast("int").alias("turn_no"), "message_id", "role")
+    kept = ranked.join(whole.join(chat_of, "conv"), "conv")
+    return kept.select("chat_id", F.col("rank").cast("int").alias("turn_no"), "message_id", F.element_at(F.array(*map(F.lit, _CODES)), F.col("role").cast("int")).alias("role"))
 
 
 def with_content(turns: DataFrame, messages: DataFrame) -> DataFrame:
@@ -163,11 +166,11 @@ def _islands(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 def _turns(rows: DataFrame) -> DataFrame:
     """One row for each turn. Repeats are joined within an hour; only what touches the hour's edge is then joined across hours."""
-    keys = ["conv", "chat_id", "role", "h", "m"]
+    keys = ["conv", "role", "h", "m"]
     equal = rows.groupBy(*keys, "hour", "t").agg(F.min("message_id").alias("message_id")).withColumn("until", F.col("t"))
     within = _islands(equal, [*keys, "hour"])
     edge = (F.col("t") - F.col("hour") * _HOUR <= _GAP) | ((F.col("hour") + 1) * _HOUR - F.col("until") <= _GAP)
-    columns = [*keys, "message_id", "t"]
+    columns = ["conv", "role", "message_id", "t"]
     joined = _islands(within.where(edge), keys)
     return within.where(~edge).select(columns).unionByName(joined.select(columns)).withColumn("hour", F.floor(F.col("t") / _HOUR))
 
@@ -179,4 +182,4 @@ def _ranked(turns: DataFrame) -> DataFrame:
     offsets = per_hour.select("conv", "hour", F.coalesce(F.sum("own").over(earlier), F.lit(0)).alias("before"))
     within = Window.partitionBy("conv", "hour").orderBy("t", "message_id")
     placed = turns.withColumn("place", F.row_number().over(within)).join(offsets, ["conv", "hour"])
-    return placed.select("conv", "chat_id", "role", "message_id", (F.col("place") + F.col("before")).alias("rank"))
+    return placed.select("conv", "role", "message_id", (F.col("place") + F.col("before")).alias("rank"))
